@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, token_counts
 
 QUERIES = {
     "op8_exact_dedup": exact_dedup.op8,
+    "op10_token_counts": token_counts.op10,
 }
 SQL = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 
 from . import textscan
 
-MAX_WORDS, MAX_BYTES = 400_000, 48 << 20
+MAX_WORDS, MAX_BYTES = 600_000, 48 << 20
 
 _encoders: dict[str, Encoder] = {}
 
@@ -83,7 +84,7 @@ class Encoder:
 
     def reset(self) -> None:
         self.numbers, self.flat, self.bytes = _Numbers(), np.empty(0, np.uint32), 0
-        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.start, self.size, self.uses = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end of each piece and pieces by text."""
@@ -106,13 +107,16 @@ class Encoder:
         known = len(self.numbers)
         at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if len(self.numbers) > known:
-            new = list(self.numbers)[known:] if known == 0 else [w for w in dict.fromkeys(words) if self.numbers[w] >= known]
+            late = np.flatnonzero(at >= known)
+            new = [words[late[i]] for i in np.unique(at[late], return_index=True)[1].tolist()]
             ids = [e.ids for e in self.lib.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
             self.size = np.append(self.size, size)
-            self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())))
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
+            self.uses = np.append(self.uses, np.zeros(len(size), np.int32))
             self.bytes += sum(map(len, new))
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         return at
 
     def _texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +126,19 @@ class Encoder:
         return self._lookup([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]), counts
 
     def _tidy(self) -> None:
-        if len(self.numbers) > MAX_WORDS or self.bytes > MAX_BYTES or len(self.flat) > MAX_BYTES // 4:
-            self.reset()
+        """Past the bound, keep the pieces seen more than once, the most used first; results don't change."""
+        if len(self.numbers) <= MAX_WORDS and self.bytes <= MAX_BYTES and len(self.flat) <= MAX_BYTES // 4:
+            return
+        words, uses, start, size, flat = list(self.numbers), self.uses, self.start, self.size, self.flat
+        stay = np.argsort(-uses, kind="stable")[: MAX_WORDS // 2]
+        stay = stay[(uses[stay] > 1) & (size[stay] < 64)]
+        self.reset()
+        for i in stay.tolist():
+            self.numbers[words[i]]
+        self.size, self.uses = size[stay], uses[stay] // 2
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = flat[np.repeat(start[stay] - self.start, self.size) + np.arange(int(self.size.sum()))]
+        self.bytes = sum(map(len, self.numbers))
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a block, and how many each has."""
