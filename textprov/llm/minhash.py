@@ -69,7 +69,7 @@ def superminhash(h: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
     slot = (h % np.uint64(M)).astype(np.int64)
     step = (1 + (h >> np.uint64(32)) % np.uint64(M - 1)).astype(np.int64)
     for rank in range(M):
-        fraction = textscan.mix(h + np.uint64(rank + 1) * _SEED) >> np.uint64(8)
+        fraction = textscan.mix(h + np.uint64((rank + 1) * int(_SEED) % 2**64)) >> np.uint64(8)
         np.minimum.at(sig, text * M + slot, fraction | np.uint64(rank << 56))
         open_texts = (sig.reshape(n_texts, M) == EMPTY).any(axis=1)
         live = open_texts[text]
@@ -182,7 +182,8 @@ def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int)
     )
     sets = _sets(here, window).join(needed.select("cid", "digest"), "digest").select("cid", "elements")
     sets = shared.written(sets.dropDuplicates(["cid"]), "sets")
-    members, hubs, links, failed, comps = members.drop("hub"), shared_keys.select("key", F.col("hub").alias("cid")), None, None, None
+    members, links, failed, comps = members.drop("hub"), None, None, None
+    hubs = members.groupBy("key").agg(F.min("cid").alias("cid"))
     rounds = 0
     while True:
         tried = shared.written(_verified(pairs, sets, percent), "verified")
@@ -192,9 +193,7 @@ def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int)
         if not linked.isEmpty() or comps is None:
             comps = connected(links)
         # the hubs of this round have met every member of their bucket
-        members = members.join(hubs, ["key", "cid"], "left_anti") if rounds else members.join(
-            members.groupBy("key").agg(F.min("cid").alias("cid")), ["key", "cid"], "left_anti"
-        )
+        members = members.join(hubs, ["key", "cid"], "left_anti")
         labelled = members.join(comps.select("cid", "comp"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
         labelled = shared.written(labelled, "members")
         open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")

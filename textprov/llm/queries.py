@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, token_counts, token_store
+from . import exact_dedup, minhash, packing, quality_rules, token_counts, token_store
 
 QUERIES = {
+    "op2_near_duplicates": minhash.op2,
     "op4_quality_rules": quality_rules.op4,
     "op7_best_fit_packing": packing.op7,
     "op1_token_store": token_store.op1,
