@@ -8,7 +8,9 @@ uniform on all pairs of different ranks, which is all that the variance depends
 off for all texts of a block at once; a text stops as soon as every slot holds a lower rank.
 
 Candidates. BANDS bands of ROWS slots: a pair at the threshold of 0.7 is missed by all bands once in
-700,000 times, likelier pairs less often. Texts with equal sets are one class from the start.
+57,000 times, likelier pairs less often. Texts with equal sets are one class from the start. Before
+whole sets are moved, pairs are dropped whose sizes rule out a link, or whose counts by hash range (a
+byte a shingle instead of eight) do: the sum of the smaller counts is never below the intersection.
 
 Verification loses no pair of a bucket, however large, and never lists a bucket's pairs: each round
 takes hubs (one a bucket, then 8, 64, ... by salted minimum), compares the whole sets of every member
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from . import shared, textscan
 from .components import connected
 
-M, BANDS, ROWS = 97, 32, 3
+M, BANDS, ROWS = 163, 40, 4
 WINDOW, PERCENT = 5, 70
 #: More hubs a bucket from round to round.
 HUBS = 8
@@ -136,12 +138,52 @@ def _sets(rows: DataFrame, window: int) -> DataFrame:
             for lo, hi, data, offsets in textscan.blocks(batch["text"]):
                 h, text = shingles(data, offsets, window)
                 first = np.searchsorted(text, np.arange(hi - lo + 1))
-                whole = pa.Array.from_buffers(
-                    pa.large_binary(), hi - lo, [None, pa.py_buffer(8 * first.astype(np.int64)), pa.py_buffer(h.tobytes())]
-                )
-                yield pa.RecordBatch.from_arrays([_digests(h, first), whole.cast(pa.binary())], names=["digest", "elements"])
+                columns = [_digests(h, first), _binary(h.tobytes(), 8 * first), _binary(*ranges(h, text, first))]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "elements", "ranges"])
+
+    return rows.select("text").mapInArrow(run, "digest binary, elements binary, ranges binary").filter("digest IS NOT NULL")
+
+
+def _binary(raw: bytes, offsets: np.ndarray) -> pa.Array:
+    parts = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, parts).cast(pa.binary())
+
+
+def ranges(h: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Counts of a set's hashes in 2^k equal ranges, 2^k being its size or the next power; none where a count is over 255."""
+    size = np.diff(first)
+    k = np.maximum(np.frexp(np.maximum(size, 2) - 1.0)[1], 4)
+    begin = np.append(0, np.cumsum(np.where(size > 0, 1 << k, 0)))
+    counts = np.bincount(begin[text] + (h >> (64 - k[text]).astype(np.uint64)).astype(np.int64), minlength=begin[-1])
+    if counts.max(initial=0) > 255:
+        over = np.zeros(len(size), bool)
+        over[np.searchsorted(begin, np.flatnonzero(counts > 255), "right") - 1] = True
+        counts = counts[np.repeat(~over, np.diff(begin))]
+        begin = np.append(0, np.cumsum(np.where(over, 0, np.diff(begin))))
+    return counts.astype(np.uint8).tobytes(), begin
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose counts by range don't rule out a link."""
 
-    return rows.select("text").mapInArrow(run, "digest binary, elements binary").filter("digest IS NOT NULL")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = np.ones(len(batch), bool)
+            for i, (x, y, m, n) in enumerate(zip(batch["x"], batch["y"], batch["m"].to_pylist(), batch["n"].to_pylist())):
+                p, q = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                if not len(p) or not len(q):
+                    continue
+                if len(p) > len(q):
+                    p, q = q, p
+                if len(p) < len(q):
+                    q = q.reshape(len(p), -1).sum(axis=1, dtype=np.int64)
+                most = int(np.minimum(p, q).sum(dtype=np.int64))
+                stays[i] = 100 * most >= percent * (m + n - most)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(stays))
+
+    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("ranges").alias("x"), F.col("size").alias("m")), "a")
+    both = both.join(sets.select(F.col("cid").alias("b"), F.col("ranges").alias("y"), F.col("size").alias("n")), "b")
+    return both.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -166,35 +208,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int) -> DataFrame | None:
+def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int) -> DataFrame:
     """cid and comp (smallest cid linked with it) of classes that are linked with others."""
-    keyed = classes.select("cid", F.explode("bands").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("hub")).filter("n > 1")
-    members = shared.written(keyed.join(shared_keys.select("key", "hub"), "key"), "buckets")
-    pairs = shared.written(members.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
-    if pairs.isEmpty():
-        return None
+    # one exchange serves both sides; a class has BANDS different keys, so no key holds over 1/BANDS of these rows
+    keyed = classes.select("cid", "size", F.explode("bands").alias("key")).repartition(shared.parts(docs.sparkSession), "key")
+    hub = F.min(F.struct("cid", "size")).alias("hub")
+    shared_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), hub).filter("n > 1").drop("n")
+    members = shared.written(keyed.join(shared_keys, "key"), "buckets")
+
+    def near_size(x, y):
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    pairs = members.filter((F.col("cid") != F.col("hub.cid")) & near_size(F.col("size"), F.col("hub.size")))
+    pairs = shared.written(pairs.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
     # the sets of the classes that share a bucket with another
-    needed = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "digest", "rep_id")
+    needed = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "digest", "rep_id", "size")
     needed = shared.written(needed, "needed")
     here = docs.select("doc_id", "text").join(
         needed.select(F.col("rep_id").alias("__rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi"
     )
-    sets = _sets(here, window).join(needed.select("cid", "digest"), "digest").select("cid", "elements")
+    sets = _sets(here, window).join(needed.select("cid", "digest", "size"), "digest").select("cid", "size", "elements", "ranges")
     sets = shared.written(sets.dropDuplicates(["cid"]), "sets")
-    members, links, failed, comps = members.drop("hub"), None, None, None
+    members, links, tried, comps = members.drop("hub"), None, None, None
     hubs = members.groupBy("key").agg(F.min("cid").alias("cid"))
     rounds = 0
     while True:
-        tried = shared.written(_verified(pairs, sets, percent), "verified")
-        linked = tried.filter("linked").select("a", "b")
+        near = shared.written(_plausible(pairs, sets, percent), "plausible")
+        linked = shared.written(_verified(near, sets, percent), "verified").filter("linked").select("a", "b")
         links = linked if links is None else links.unionByName(linked)
-        failed = tried.filter("NOT linked").select("a", "b") if failed is None else failed.unionByName(tried.filter("NOT linked").select("a", "b"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         if not linked.isEmpty() or comps is None:
             comps = connected(links)
         # the hubs of this round have met every member of their bucket
         members = members.join(hubs, ["key", "cid"], "left_anti")
-        labelled = members.join(comps.select("cid", "comp"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+        labelled = members.join(comps.select("cid", "comp"), "cid", "left").select("key", "cid", "size", F.coalesce("comp", "cid").alias("comp"))
         labelled = shared.written(labelled, "members")
         open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         members = shared.written(labelled.join(open_keys, "key", "left_semi"), "open")
@@ -202,33 +249,28 @@ def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int)
             return comps
         rounds += 1
         salt = F.pmod(F.xxhash64("cid", F.lit(rounds)), F.lit(HUBS**rounds))
-        hubs = shared.written(
-            members.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("cid", "comp")).alias("h")).select("key", "h.cid", "h.comp"), "hubs"
-        )
-        met = members.join(hubs.select("key", F.col("cid").alias("hub"), F.col("comp").alias("hub_comp")), "key")
-        met = met.filter("comp <> hub_comp").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-        pairs = shared.written(met.join(failed, ["a", "b"], "left_anti"), "pairs")
-        members = members.drop("comp")
-        hubs = hubs.drop("comp")
+        hub = F.min(F.struct("cid", "comp", "size")).alias("hub")
+        hubs = shared.written(members.groupBy("key", salt.alias("salt")).agg(hub).drop("salt"), "hubs")
+        met = members.join(hubs, "key").filter((F.col("comp") != F.col("hub.comp")) & near_size(F.col("size"), F.col("hub.size")))
+        met = met.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
+        pairs = shared.written(met.join(tried, ["a", "b"], "left_anti"), "pairs")
+        members, hubs = members.drop("comp"), hubs.select("key", "hub.cid")
 
 
 def near_duplicates(docs: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows = shared.written(signatures(docs, window), "signatures")
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")
     )
     classes = shared.written(classes, "classes")
     classes = shared.written(classes.withColumn("cid", F.monotonically_increasing_id()), "numbered")
     comps = _components(docs, classes, window, percent)
     known = classes.select("cid", "digest", "rep_id", "n_rows")
-    if comps is None:
-        groups = known.filter("n_rows > 1").select("digest", "n_rows", F.col("rep_id").alias("lowest"))
-    else:
-        in_comp = shared.written(known.join(comps, "cid", "left"), "labelled")
-        lowest = in_comp.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("rep_id").alias("of_comp"))
-        both = in_comp.filter("comp IS NOT NULL OR n_rows > 1").join(lowest, "comp", "left")
-        groups = both.select("digest", "n_rows", F.when(F.col("comp").isNull(), F.col("rep_id")).otherwise(F.col("of_comp")).alias("lowest"))
+    in_comp = shared.written(known.join(comps, "cid", "left"), "labelled")
+    lowest = in_comp.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("rep_id").alias("of_comp"))
+    both = in_comp.filter("comp IS NOT NULL OR n_rows > 1").join(lowest, "comp", "left")
+    groups = both.select("digest", "n_rows", F.when(F.col("comp").isNull(), F.col("rep_id")).otherwise(F.col("of_comp")).alias("lowest"))
     groups = shared.written(groups, "groups")
     out = shared.join_groups(rows.drop("bands"), groups, "digest", "n_rows")
     component = F.when(F.col("n_rows").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
