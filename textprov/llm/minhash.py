@@ -259,6 +259,7 @@ def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int)
 
 def near_duplicates(docs: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    shared.small_batches(docs.sparkSession)
     rows = shared.written(signatures(docs, window), "signatures")
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")

@@ -154,6 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
+    shared.small_batches(docs.sparkSession)
     found = shared.written(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
     counts = found.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

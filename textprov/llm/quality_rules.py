@@ -114,6 +114,7 @@ def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
 
     At most 1/LANGUAGE languages and 1/COMMON words of each reach the driver.
     """
+    shared.small_batches(docs.sparkSession)
     texts = docs.select(F.col("lang").cast("string").alias("lang"), "text")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

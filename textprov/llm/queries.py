@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, packing, quality_rules, token_counts, token_store
+from . import bloom_lm, exact_dedup, minhash, packing, quality_rules, token_counts, token_store
 
 QUERIES = {
+    "op3_lm_scoring": bloom_lm.op3,
     "op2_near_duplicates": minhash.op2,
     "op4_quality_rules": quality_rules.op4,
     "op7_best_fit_packing": packing.op7,

@@ -76,3 +76,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     cold = cold.join(groups.filter(F.col(size) < max(2, total * HOT_SHARE)), key, "left")
     order = rows.columns + extra
     return done.select(*order).unionByName(cold.select(*order))
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound Arrow batches by bytes, so that Python workers stay small whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import textscan, wordcache
+from . import shared, textscan, wordcache
 
 LONG_BYTES, CHUNK, OVERLAP = 1 << 16, 1 << 15, 1 << 10
 
@@ -103,6 +103,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, long_bytes:
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
+    shared.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 

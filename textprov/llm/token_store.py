@@ -118,6 +118,7 @@ class ShardReader:
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text); the manifest: shard, path, n_docs, n_tokens, start (ids in the shards before)."""
+    shared.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shards = shards or shared.parts(spark)
     at = [i / shards for i in range(1, shards)] or [0.5]
