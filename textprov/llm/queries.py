@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, exact_dedup, minhash, packing, quality_rules, token_counts, token_store
+from . import bloom_lm, chat, exact_dedup, minhash, packing, quality_rules, token_counts, token_store
 
 QUERIES = {
+    "op5_chat_format": chat.op5,
     "op3_lm_scoring": bloom_lm.op3,
     "op2_near_duplicates": minhash.op2,
     "op4_quality_rules": quality_rules.op4,
@@ -14,5 +15,6 @@ QUERIES = {
     "op10_token_counts": token_counts.op10,
 }
 SQL = {
+    "op5_chat_format": chat.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
