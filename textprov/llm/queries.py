@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, chat, exact_dedup, minhash, packing, quality_rules, token_counts, token_store
+from . import bloom_lm, chat, exact_dedup, importance, minhash, mixing, packing, quality_rules, token_counts, token_store
 
 QUERIES = {
+    "op6_importance_resampling": importance.op6,
+    "op9_mixing": mixing.op9,
     "op5_chat_format": chat.op5,
     "op3_lm_scoring": bloom_lm.op3,
     "op2_near_duplicates": minhash.op2,
@@ -15,6 +17,7 @@ QUERIES = {
     "op10_token_counts": token_counts.op10,
 }
 SQL = {
+    "op9_mixing": mixing.OP9_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }

@@ -81,3 +81,28 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Bound Arrow batches by bytes, so that Python workers stay small whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def split_at(rows: DataFrame, key: str, k: int) -> tuple[int | None, int]:
+    """Radix select: the ``k``-th largest value of the long column ``key``, and how many rows with it are among the ``k``.
+
+    Four counts of at most 65,536 groups each; no sort and no hot group. None where there are fewer
+    than ``k`` rows or ``k`` is 0.
+    """
+    if k <= 0:
+        return None, 0
+    shifted = F.col(key).bitwiseXOR(F.lit(-(2**63)))
+    rows, prefix, left = rows.select(shifted.alias("u")), None, k
+    for shift in (48, 32, 16, 0):
+        here = rows if prefix is None else rows.filter(F.shiftrightunsigned("u", shift + 16) == F.lit(prefix))
+        digit = F.shiftrightunsigned("u", shift).bitwiseAND(F.lit(0xFFFF)).alias("d")
+        counts = sorted(((r["d"], r["count"]) for r in here.groupBy(digit).count().collect()), reverse=True)
+        for d, n in counts:
+            if left <= n:
+                prefix = d if prefix is None else prefix << 16 | d
+                break
+            left -= n
+        else:
+            return None, 0
+    value = prefix ^ (1 << 63)
+    return (value - (1 << 64) if value >= 1 << 63 else value), left
