@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import shared, textscan
 
 COMMON, LANGUAGE = 1 / 500, 1 / 1000
-MIN_WORDS, CHAR_BOUND, WORD_BOUND = 30, 0.25, 0.45
+MIN_WORDS, CHAR_BOUND, WORD_BOUND = 30, 0.23, 0.22
 
 CLASSES = 13
 CLASS = np.full(256, 12, np.int64)
