@@ -46,10 +46,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new[1:] = (kind[1:] != kind[:-1]) | edge[1:-1]
     last = np.ones(len(data), bool)
     last[:-1] = new[1:]
-    words = textscan.Words.__new__(textscan.Words)
-    words.data = textscan.LOWER[data]
-    words.starts, words.ends = np.flatnonzero(new & (kind > 0)), np.flatnonzero(last & (kind > 0)) + 1
-    return words.hashes(), np.searchsorted(offsets, words.starts, "right") - 1
+    starts, ends = np.flatnonzero(new & (kind > 0)), np.flatnonzero(last & (kind > 0)) + 1
+    return textscan.hashes(textscan.LOWER[data], starts, ends), np.searchsorted(offsets, starts, "right") - 1
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -71,25 +71,28 @@ class Words:
         self.is_word = word
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, read eight bytes at a time."""
-        padded = np.zeros(len(self.data) + 8, np.uint8)
-        padded[: len(self.data)] = self.data
-        lanes = np.ndarray((len(self.data) + 1,), "<u8", padded.data, strides=(1,))
-        size = self.ends - self.starts
-        h = size.astype(np.uint64) * _A
-        live = np.arange(len(size))
-        for k in range(0, LONG_WORD, 8):
-            left = size[live] - k
-            live, left = live[left > 0], left[left > 0]
-            if not len(live):
-                break
-            lane = lanes[self.starts[live] + k]
-            short = np.minimum(left, 8).astype(np.uint64)
-            lane = lane & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * short))
-            h[live] = mix(h[live] ^ lane) + _A
-        for i in np.flatnonzero(size > LONG_WORD):
-            h[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
-        return mix(h)
+        return hashes(self.data, self.starts, self.ends)
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes, read eight bytes at a time."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    size = ends - starts
+    h = size.astype(np.uint64) * _A
+    live = np.arange(len(size))
+    for k in range(0, LONG_WORD, 8):
+        left = size[live] - k
+        live, left = live[left > 0], left[left > 0]
+        if not len(live):
+            break
+        lane = lanes[starts[live] + k]
+        short = np.minimum(left, 8).astype(np.uint64)
+        lane = lane & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * short))
+        h[live] = mix(h[live] ^ lane) + _A
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return mix(h)
 
 
 def windows(h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

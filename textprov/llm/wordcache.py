@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import chain
 
 import numpy as np
 
 from . import textscan
 
-MAX_WORDS, MAX_BYTES = 600_000, 48 << 20
+#: Bounds of the cache, and pieces encoded as one text.
+MAX_WORDS, MAX_IDS, RUN = 1_500_000, 16_000_000, 256
 
 _encoders: dict[str, Encoder] = {}
 
@@ -69,29 +69,29 @@ def wide_spaces(data: np.ndarray) -> np.ndarray:
     return space
 
 
-class _Numbers(dict):
-    """Numbers unseen keys in order."""
-
-    def __missing__(self, key: bytes) -> int:
-        n = self[key] = len(self)
-        return n
-
-
 class Encoder:
+    """Encodes blocks of texts; pieces are known by 64-bit hash (two of a full cache are alike once in 10^8 caches)."""
+
     def __init__(self, path: str):
         self.lib, self.kind = library(path), kind_of(path)
+        added = self.lib.get_added_tokens_decoder()
+        names = self.lib.get_vocab(with_added_tokens=True)
+        #: Bytes of text that each id stands for.
+        self.width = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        for name, i in names.items():
+            self.width[i] = len(added[i].content.encode()) if i in added else len(name.removesuffix("</w>"))
         self.reset()
 
     def reset(self) -> None:
-        self.numbers, self.flat, self.bytes = _Numbers(), np.empty(0, np.uint32), 0
-        self.start, self.size, self.uses = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.flat, self.start, self.size, self.uses = np.empty(0, np.uint32), *(np.empty(0, np.int64) for _ in range(3))
 
-    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end of each piece and pieces by text."""
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each piece, whether it may be encoded behind and before others, and pieces by text."""
         if self.kind == "dropped":
             words = textscan.Words(data, offsets)
-            return words.starts, words.ends, words.counts
-        cuts = offsets[:-1]
+            return words.starts, words.ends, np.ones(len(words.starts), bool), words.counts
+        starts = offsets[:-1]
         if self.kind == "kept":
             space = np.ones(len(data) + 2, bool)
             space[1:-1] = wide_spaces(data)
@@ -99,46 +99,66 @@ class Encoder:
             cut[offsets[:-1][offsets[:-1] < len(data)]] = False
             last = offsets[1:] - 1
             cut[last[last >= 0]] = False
-            cuts = np.sort(np.concatenate([offsets[:-1], np.flatnonzero(cut)]))
-        ends = np.append(cuts[1:], len(data))
-        return cuts, ends, np.diff(np.searchsorted(cuts, offsets, "left"))
-
-    def _lookup(self, words: list[bytes]) -> np.ndarray:
-        known = len(self.numbers)
-        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if len(self.numbers) > known:
-            late = np.flatnonzero(at >= known)
-            new = [words[late[i]] for i in np.unique(at[late], return_index=True)[1].tolist()]
-            ids = [e.ids for e in self.lib.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
-            self.size = np.append(self.size, size)
-            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
-            self.uses = np.append(self.uses, np.zeros(len(size), np.int32))
-            self.bytes += sum(map(len, new))
-        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
-        return at
+            starts = np.sort(np.concatenate([offsets[:-1], np.flatnonzero(cut)]))
+        ends = np.append(starts[1:], len(data))
+        joins = np.zeros(len(starts), bool)
+        if self.kind == "kept" and len(data):
+            at = np.minimum(starts, len(data) - 1)
+            joins = (ends - starts > 1) & (data[at] == 0x20) & ~space[at + 2] & ~space[ends]
+        return starts, ends, joins, np.diff(np.searchsorted(starts, offsets, "left"))
+
+    def _encode(self, words: list[bytes], joins: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has. Runs of pieces are encoded as one text where the ids' widths prove the seams."""
+        glue = b" " if self.kind == "dropped" else b""
+        together = [i for i, ok in enumerate(joins) if ok]
+        groups = [together[i : i + RUN] for i in range(0, len(together), RUN)]
+        found: list[np.ndarray | None] = [None] * len(words)
+        texts = [glue.join(words[i] for i in g).decode("utf-8", "replace") for g in groups]
+        for group, e in zip(groups, self.lib.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends, done = np.cumsum([len(words[i]) for i in group]), np.cumsum(self.width[ids])
+            at = np.searchsorted(done, ends)
+            if len(ids) and at[-1] == len(ids) - 1 and (done[np.minimum(at, len(ids) - 1)] == ends).all():
+                cuts = [0, *(at + 1).tolist()]
+                for i, a, b in zip(group, cuts, cuts[1:]):
+                    found[i] = ids[a:b]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(rest, self.lib.encode_batch_fast([words[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)):
+            found[i] = np.array(e.ids, np.uint32)
+        return (np.concatenate(found) if found else np.empty(0, np.uint32)), np.fromiter(map(len, found), np.int64, len(found))
 
     def _texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all pieces, and pieces by text."""
-        starts, ends, counts = self.pieces(data, offsets)
-        raw = data.tobytes()
-        return self._lookup([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]), counts
+        starts, ends, joins, counts = self.pieces(data, offsets)
+        unique, where, back, times = np.unique(textscan.hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.known, unique)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != unique) if len(self.known) else np.arange(len(unique))
+        if len(new):
+            raw, mine = data.tobytes(), where[new]
+            ids, size = self._encode([raw[a:b] for a, b in zip(starts[mine].tolist(), ends[mine].tolist())], joins[mine].tolist())
+            self.known = np.insert(self.known, at[new], unique[new])
+            self.number = np.insert(self.number, at[new], len(self.size) + np.arange(len(new)))
+            self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
+            self.size = np.append(self.size, size)
+            self.flat = np.append(self.flat, ids)
+            self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
+        numbers = self.number[np.searchsorted(self.known, unique)]
+        self.uses[numbers] += times
+        return numbers[back], counts
 
     def _tidy(self) -> None:
         """Past the bound, keep the pieces seen more than once, the most used first; results don't change."""
-        if len(self.numbers) <= MAX_WORDS and self.bytes <= MAX_BYTES and len(self.flat) <= MAX_BYTES // 4:
+        if len(self.known) <= MAX_WORDS and len(self.flat) <= MAX_IDS:
             return
-        words, uses, start, size, flat = list(self.numbers), self.uses, self.start, self.size, self.flat
+        uses = self.uses[self.number]
         stay = np.argsort(-uses, kind="stable")[: MAX_WORDS // 2]
-        stay = stay[(uses[stay] > 1) & (size[stay] < 64)]
-        self.reset()
-        for i in stay.tolist():
-            self.numbers[words[i]]
-        self.size, self.uses = size[stay], uses[stay] // 2
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = flat[np.repeat(start[stay] - self.start, self.size) + np.arange(int(self.size.sum()))]
-        self.bytes = sum(map(len, self.numbers))
+        stay = np.sort(stay[(uses[stay] > 1) & (self.size[self.number[stay]] < 64)])
+        number, flat = self.number[stay], self.flat
+        size, uses = self.size[number], uses[stay] // 2
+        start = np.cumsum(size) - size
+        self.known, self.number = self.known[stay], np.arange(len(stay))
+        self.flat = flat[np.repeat(self.start[number] - start, size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.uses = start, size, uses
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a block, and how many each has."""
