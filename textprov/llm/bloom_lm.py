@@ -43,7 +43,7 @@ CHUNK = 1 << 18
 
 END = np.uint64(0xA0761D6478BD642F)
 _P = np.uint64(0xE7037ED1A0B428DB)
-_KEY = np.uint64((1 << 48) - 1)
+_KEY, _LOW, _S32 = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1), np.uint64(32)
 
 
 def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +178,8 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def dequantise(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level; 0 for level 0."""
-    return np.where(level > 0, np.maximum(1.0, (BASE ** (level - 1.0) + BASE**level - 1) / 2), 0.0)
+#: The middle of the counts of each level; 0 for level 0.
+DEQUANTISED = np.append(0.0, np.maximum(1.0, [(BASE ** (q - 1.0) + BASE**q - 1) / 2 for q in range(1, 128)]))
 
 
 class Filter:
@@ -193,10 +192,16 @@ class Filter:
     def places(key: np.ndarray, level: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the item (key, level) that make its PROBES places within the segment."""
         x = textscan.mix((key & _KEY) * _P + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
-        return x % np.uint64(bits), (x >> np.uint64(20)) % np.uint64(bits - 1) + np.uint64(1)
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each n-gram; 0 if it isn't there."""
+        # multiply-shift instead of a remainder
+        return (x >> _S32) * np.uint64(bits) >> _S32, ((x & _LOW) * np.uint64(bits - 1) >> _S32) + np.uint64(1)
+
+    def level(self, keys: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
+        """Level of each n-gram, or of those ``asked`` for; 0 if it isn't there. Repeated ones are probed once."""
+        if asked is not None:
+            out = np.zeros(len(keys), np.int64)
+            unique, back = np.unique(keys[asked], return_inverse=True)
+            out[asked] = self.level(unique)[back]
+            return out
         out = np.zeros(len(keys), np.int64)
         live = np.flatnonzero(keys != 0)
         begin = (_part(keys[live], self.parts) * self.bits).astype(np.uint64)
@@ -312,15 +317,15 @@ def score(docs: DataFrame, training: DataFrame, weights: tuple[float, ...] = WEI
                 exact = np.where(there, times[at] if len(known) else 0.0, 0.0)
                 base = np.add.reduceat(np.log10((exact[back] + 1) / bottom), first[:-1])
                 n_known = np.add.reduceat(there[back].astype(np.int64), first[:-1])
-                c_context = dequantise(model.level(unique))[back]
-                p = (c_context + 1) / bottom
+                level = model.level(unique)[back]
+                p = ((DEQUANTISED[level] + 1) / bottom)
                 for g, w in zip(grams(h, text, order), weights):
-                    context = np.append(0.0, c_context[:-1])
-                    context[g == 0] = 0.0
-                    c = np.minimum(dequantise(model.level(g)), context)
-                    seen = context > 0
-                    p[seen] = w * c[seen] / context[seen] + (1 - w) * p[seen]
-                    c_context = c
+                    # an n-gram seen twice has a context and an ending seen twice: only words come with level 1
+                    before = np.append(0, level[:-1])
+                    before[g == 0] = 0
+                    level = np.minimum(model.level(g, (before > 1) & (level > 1)), before)
+                    seen = np.flatnonzero(before)
+                    p[seen] = w * DEQUANTISED[level[seen]] / DEQUANTISED[before[seen]] + (1 - w) * p[seen]
                 scores = np.add.reduceat(np.log10(p), first[:-1])
                 columns = [batch[f.name].slice(lo, hi - lo) for f in kept]
                 columns += [pa.array(x) for x in (size, n_known, base, scores)]
