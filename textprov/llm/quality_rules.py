@@ -160,23 +160,15 @@ def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
                         classes[x] += m.classes[mine].sum(axis=0)
         for x in likely:
             if words[x].any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x]), pa.array([words[x]]), pa.array([classes[x]])], names=["lang", "words", "classes"]
-                )
-
-    # rows by (task, language, place) are summed where they are made; the result has as many rows as candidates
-    rows = texts.mapInArrow(count, "lang string, words array<long>, classes array<long>")
-    sums = {}
-    for kind in ("words", "classes"):
-        flat = rows.select("lang", F.posexplode(kind).alias("at", "n")).filter("n > 0")
-        for lang, at, n in flat.groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():
-            sums[kind, lang, at] = n
-        if kind == "words":
-            rows = texts.mapInArrow(count, rows.schema)
+                yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([np.append(classes[x], words[x])])], names=["lang", "counts"])
+
+    # summed by place where they are made; the result has as many rows as candidates
+    flat = texts.mapInArrow(count, "lang string, counts array<long>").select("lang", F.posexplode("counts").alias("at", "n"))
+    sums = {(r["lang"], r["at"]): r["n"] for r in flat.filter("n > 0").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()}
     out = {}
     for x, keys in likely.items():
-        words = np.array([sums.get(("words", x, i), 0) for i in range(len(keys) + 1)], float)
-        classes = np.array([sums.get(("classes", x, i), 0) for i in range(CLASSES)], float)
+        counts = np.array([sums.get((x, i), 0) for i in range(CLASSES + len(keys) + 1)], float)
+        classes, words = counts[:CLASSES], counts[CLASSES:]
         if not words.sum():
             continue
         common = np.flatnonzero(words[:-1] >= COMMON * words.sum())
