@@ -108,3 +108,32 @@ def test_mixing(docs):
 
 def test_blocks():
     assert [x[:2] for x in textscan.blocks(pa.array(["a", None, "bb"]), 1)] == [(0, 2), (2, 3)]
+
+
+def test_lm_filter_grows():
+    rng = np.random.default_rng(1)
+    for n in (1000, 300_000):
+        keys, counts = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64)), rng.integers(2, 9, n)
+        segment = bloom_lm.Filter.build(keys, counts)
+        # bits follow the items, and no n-gram is left out
+        assert segment.bits >= bloom_lm.BITS * bloom_lm.levels(counts).sum()
+        assert (segment.level(keys) >= bloom_lm.levels(counts)).all()
+        assert (segment.level(keys + np.uint64(1)) > 0).mean() < 0.03
+        assert (bloom_lm.unpack(bloom_lm.pack(keys)) == keys).all()
+
+
+def test_lm_runs_do_not_depend_on_batches():
+    rows = pa.record_batch({"text": pa.array(["abc", None, "", "x" * 30, "yy"] * 20)})
+
+    def cuts(n):
+        return ["|".join(str(x) for b in run for x in b["text"]) for run in bloom_lm.runs((rows.slice(i, n) for i in range(0, 100, n)), 50)]
+
+    assert cuts(100) == cuts(7) == cuts(1) and len(cuts(7)) > 5
+
+
+def test_lm_spread_documents(docs):
+    plain = {r.doc_id: r.score for r in bloom_lm.score(docs.select("doc_id", "text"), docs).collect()}
+    spread = {r.doc_id: r.score for r in bloom_lm.score(docs.select("doc_id", "text").repartition(3), docs.repartition(2)).collect()}
+    assert spread == pytest.approx(plain)
+    assert bloom_lm.score(docs.select("doc_id", "text").limit(0), docs).count() == 0
+    assert bloom_lm.score(docs.select("doc_id", "text"), docs.limit(0)).count() == len(ROWS)

@@ -1,15 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counting. Tasks hash the n-grams of training texts, pre-aggregate them and send sorted 48-bit keys in
-blobs to the part of the key space that the hash's high bits name; each part adds up its counts. A hot
-n-gram is one key a flush, so parts are alike in size and their number follows
+Counting. Tasks hash the n-grams of training texts, pre-aggregate them and send sorted 48-bit keys, as
+gaps in blobs, to the part of the key space that the hash's high bits name; each part adds up its
+counts. A hot n-gram is one key a flush, so parts are alike in size and their number follows
 ``spark.sql.shuffle.partitions``.
 
 Filter. A count c is quantised to level ``1 + floor(log_BASE c)``; an n-gram enters the filter once for
 each level up to its own, and a look-up probes levels until one is missing. Each part builds its own
-segment. The filter is broadcast, and ``max_bytes`` bounds it: BITS bits an item, and where that is
-too much, the least counts that enter are raised by one until it fits. All texts are counted and
-scored whatever the bound. Words are entered from 1 occurrence on, longer n-grams from 2.
+segment of BITS bits an item, so the filter grows with what was counted. It is neither broadcast nor
+gathered: documents are cut into runs of about RUN bytes of text, each run sends its distinct n-grams to
+the parts as a question, and the parts' levels go back through the shared folder to the task that scores
+the run. Words are entered from 1 occurrence on, longer n-grams from 2.
+
+Documents are read twice, once to ask and once to score; where their plan has a shuffle they are written
+first, and a run that doesn't match its answer raises an error.
 
 Score. Interpolation from order to order, ``p_n = w_n * c(ngram) / c(context) + (1 - w_n) * p_(n-1)``
 where the context was seen and p_(n-1) elsewhere, above ``p_1 = (c + 1) / (N + V + 1)``, with
@@ -23,27 +27,37 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, textscan
+from .token_store import place
 
 ORDER, BASE, BITS, PROBES = 3, 1.5, 10, 7
 #: Weight of the counts of each order from 2 on.
 WEIGHTS = (0.1, 0.3)
-MAX_BYTES, MAX_WORDS = 64 << 20, 4_000_000
+MAX_WORDS = 4_000_000
 #: N-grams a task holds before it sends them.
 FLUSH = 3_000_000
 #: Entries in a row of the table of counts.
 CHUNK = 1 << 18
+#: Bytes of text, and one a row, of the documents that ask and are scored at once.
+RUN = 8 << 20
 
 END = np.uint64(0xA0761D6478BD642F)
 _P = np.uint64(0xE7037ED1A0B428DB)
-_KEY, _LOW, _S32 = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1), np.uint64(32)
+#: An n-gram seen twice has a context and an ending seen twice: only words come with level 1.
+SEEN = 1
+_LOW, _S16, _S32 = np.uint64((1 << 32) - 1), np.uint64(16), np.uint64(32)
 
 
 def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,18 +81,27 @@ def grams(h: np.ndarray, text: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _six(keys: np.ndarray) -> bytes:
-    return (keys & _KEY).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted 48-bit keys as gaps: three low bytes of each as they are, the higher ones compressed."""
+    gaps = np.diff(keys, prepend=keys[:1])
+    width = 4 if gaps.max(initial=0) >> _S32 == 0 else 6
+    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    head = np.array([keys[0] if len(keys) else 0, len(keys), width], "<u8").tobytes()
+    return head + planes[:3].tobytes() + pa.compress(planes[3:].tobytes(), codec="zstd", asbytes=True)
 
 
-def _unsix(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = raw.reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def unpack(raw: bytes) -> np.ndarray:
+    first, n, width = np.frombuffer(raw, "<u8", 3).tolist()
+    high = pa.decompress(raw[24 + 3 * n :], n * (width - 3), codec="zstd", asbytes=True)
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :3] = np.frombuffer(raw, np.uint8, 3 * n, 24).reshape(3, n).T
+    gaps[:, 3:width] = np.frombuffer(high, np.uint8).reshape(width - 3, n).T
+    return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64) + np.uint64(first)
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """Parts of 48-bit keys, ascending with the key."""
+    return ((keys >> _S16) * np.uint64(parts) >> _S32).astype(np.int64)
 
 
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,32 +111,80 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Counts of all n-grams, written: part, words (order 1 or not), keys and counts in blobs, sorted by key.
+def runs(batches: Iterator[pa.RecordBatch], size: int = RUN) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches with about ``size`` bytes of text in all; the cuts don't depend on the batches."""
+    held, n = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        lo, before = 0, 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(ends, before + size - n)) + 1
+            if hi > batch.num_rows:
+                held.append(batch.slice(lo))
+                n += int(ends[-1]) - before
+                break
+            yield [*held, batch.slice(lo, hi - lo)]
+            held, n, lo, before = [], 0, hi, int(ends[hi - 1])
+    if held:
+        yield held
+
+
+def read(run: list[pa.RecordBatch], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Token hashes, the text of each, and for each order from 2 the n-grams that end there."""
+    found = []
+    for lo, _, data, offsets in textscan.blocks(pa.chunked_array([b["text"] for b in run])):
+        h, text = sequences(data, offsets)
+        found.append((h, text + lo, *grams(h, text, order)))
+    h, text, *longer = (np.concatenate(x) for x in zip(*found))
+    return h, text, longer
+
+
+def _check(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(textscan.mix(keys + _P)).view(np.int64))
+
+
+SENT = "part int, kind int, task int, run int, check long, keys binary, counts binary"
+KEPT = "run int, part int, check long, keys binary, counts binary, levels binary, task int"
+NGRAMS, WORDS, QUESTION = range(3)
+
 
-    ``keys`` are whole 64-bit hashes for words and 48 bits (unique with the part) for longer n-grams.
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(zip(*rows), types)], names=names)
+
+
+def answers(docs: DataFrame, training: DataFrame, order: int = ORDER) -> tuple[DataFrame, str]:
+    """A table (KEPT) and its folder: counts of the words of ``training`` (task -1), and for each run of ``docs`` the levels of its n-grams.
+
+    Questions have the distinct keys of a run; its levels, by part, are in their order.
     """
-    spark = texts.sparkSession
+    spark = docs.sparkSession
     parts = shared.parts(spark)
-    schema = "part int, words boolean, keys binary, counts binary"
 
-    def send(keys: np.ndarray, counts: np.ndarray, words: bool) -> Iterator[pa.RecordBatch]:
-        bounds = np.searchsorted(_part(keys, parts), np.arange(parts + 1))
+    def send(keys: np.ndarray, counts: np.ndarray | None, kind: int, task: int = -1, run: int = 0) -> Iterator[pa.RecordBatch]:
+        check = _check(keys) if kind == QUESTION else 0
+        bounds = np.searchsorted(_part(keys if kind != WORDS else keys >> _S16, parts), np.arange(parts + 1))
         rows = []
         for p in range(parts):
-            k, c = keys[bounds[p] : bounds[p + 1]], counts[bounds[p] : bounds[p + 1]]
-            if words:
-                if len(k):
-                    rows.append((p, True, k.astype("<u8").tobytes(), c.astype("<i8").tobytes()))
+            k = keys[bounds[p] : bounds[p + 1]]
+            if not len(k):
+                continue
+            if kind == QUESTION:
+                rows.append((p, kind, task, run, check, pack(k), None))
+                continue
+            c = counts[bounds[p] : bounds[p + 1]]
+            if kind == WORDS:
+                rows.append((p, kind, -1, 0, 0, k.astype("<u8").tobytes(), c.astype("<i8").tobytes()))
                 continue
             for mine, some in ((c == 1, False), (c > 1, True)):
                 if mine.any():
-                    rows.append((p, False, _six(k[mine]), c[mine].astype("<i8").tobytes() if some else None))
+                    rows.append((p, kind, -1, 0, 0, pack(k[mine]), c[mine].astype("<i8").tobytes() if some else None))
         if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))],
-                names=["part", "words", "keys", "counts"],
-            )
+            yield _rows(rows, SENT)
+
+    def ngrams(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield from send(*np.unique(np.concatenate(held) >> _S16, return_counts=True), NGRAMS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_keys, word_counts = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -127,51 +198,94 @@ def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
                     held.append(g[g != 0])
                     n += len(held[-1])
                 if n >= FLUSH:
-                    yield from send(*np.unique(np.concatenate(held), return_counts=True), False)
+                    yield from ngrams(held)
                     held, n = [], 0
                 if n_words >= FLUSH:
                     k, c = np.unique(np.concatenate(words), return_counts=True)
                     word_keys, word_counts = _merge(np.append(word_keys, k), np.append(word_counts, c))
                     words, n_words = [], 0
                 if len(word_keys) > FLUSH:
-                    yield from send(word_keys, word_counts, True)
+                    yield from send(word_keys, word_counts, WORDS)
                     word_keys, word_counts = word_keys[:0], word_counts[:0]
         if held:
-            yield from send(*np.unique(np.concatenate(held), return_counts=True), False)
+            yield from ngrams(held)
         if words:
             k, c = np.unique(np.concatenate(words), return_counts=True)
             word_keys, word_counts = _merge(np.append(word_keys, k), np.append(word_counts, c))
         if len(word_keys):
-            yield from send(word_keys, word_counts, True)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list] = {True: [], False: []}
-        size, rows = {True: 0, False: 0}, {True: 0, False: 0}
-        part = 0
+            yield from send(word_keys, word_counts, WORDS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for i, run in enumerate(runs(batches)):
+            h, _, longer = read(run, order)
+            yield from send(np.unique(np.concatenate([h, *longer]) >> _S16), None, QUESTION, task, i)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {NGRAMS: [], WORDS: []}
+        size, rows = {NGRAMS: 0, WORDS: 0}, {NGRAMS: 0, WORDS: 0}
+        asked, part = [], None
         for batch in batches:
-            for p, words, keys, counts in zip(*(batch[c] for c in ("part", "words", "keys", "counts"))):
-                part, words = p.as_py(), words.as_py()
-                k = np.frombuffer(keys.as_buffer(), "<u8").astype(np.uint64) if words else _unsix(np.frombuffer(keys.as_buffer(), np.uint8))
+            for p, kind, task, run, check, keys, counts in zip(*(batch.column(i) for i in range(7))):
+                part, kind = p.as_py(), kind.as_py()
+                if kind == QUESTION:
+                    asked.append((task.as_py(), run.as_py(), check.as_py(), keys.as_py()))
+                    continue
+                k = np.frombuffer(keys.as_buffer(), "<u8").astype(np.uint64) if kind == WORDS else unpack(keys.as_py())
                 c = np.frombuffer(counts.as_buffer(), "<i8") if counts.is_valid else np.ones(len(k), np.int64)
-                held[words].append((k, c))
-                rows[words] += len(k)
-                if rows[words] > 2 * size[words] + FLUSH:
-                    held[words] = [_merge(*(np.concatenate(x) for x in zip(*held[words])))]
-                    rows[words] = size[words] = len(held[words][0][0])
-        for words, found in held.items():
-            if not found:
-                continue
-            k, c = _merge(*(np.concatenate(x) for x in zip(*found)))
-            if not words:  # n-grams seen once never enter the filter
-                k, c = k[c > 1], c[c > 1]
-            for i in range(0, len(k), CHUNK):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([words]), pa.array([k[i : i + CHUNK].tobytes()], pa.binary()), pa.array([c[i : i + CHUNK].astype("<i8").tobytes()], pa.binary())],
-                    names=["part", "words", "keys", "counts"],
-                )
-
-    sent = texts.select("text").mapInArrow(gather, schema)
-    return shared.written(sent.repartitionById(parts, "part").mapInArrow(add, schema), "ngrams")
+                held[kind].append((k, c))
+                rows[kind] += len(k)
+                if rows[kind] > 2 * size[kind] + FLUSH:
+                    held[kind] = [_merge(*(np.concatenate(x) for x in zip(*held[kind])))]
+                    rows[kind] = size[kind] = len(held[kind][0][0])
+        if part is None:
+            return
+        none = (np.empty(0, np.uint64), np.empty(0, np.int64))
+        (k, c), (w, n) = (_merge(*(np.concatenate(x) for x in zip(*(held.pop(kind) or [none])))) for kind in (NGRAMS, WORDS))
+        k, c = k[c > 1], c[c > 1]  # n-grams seen once never enter the filter
+        for i in range(0, len(w), CHUNK):
+            yield _rows([(0, part, 0, w[i : i + CHUNK].tobytes(), n[i : i + CHUNK].astype("<i8").tobytes(), None, -1)], KEPT)
+        if not asked:
+            return
+        segment = Filter.build(np.append(k, w >> _S16), np.append(c, n))
+        del k, c
+        keys = [unpack(raw) for *_, raw in asked]
+        unique, back = np.unique(np.concatenate(keys), return_inverse=True)
+        found = segment.level(unique).astype(np.uint8)[back]
+        ends = np.cumsum([len(x) for x in keys])
+        rows = [(run, part, check, None, None, pa.compress(x.tobytes(), codec="zstd", asbytes=True), task) for (task, run, check, _), x in zip(asked, np.split(found, ends[:-1]))]
+        for i in range(0, len(rows), 1024):
+            yield _rows(rows[i : i + 1024], KEPT)
+
+    # docs first, so that tasks have the numbers that they have when documents are scored
+    sent = docs.mapInArrow(ask, SENT).union(training.select("text").mapInArrow(gather, SENT))
+    out = sent.repartitionById(parts, "part").mapInArrow(answer, KEPT)
+    folder = shared.new_folder(spark, "answers")
+    to = F.when(F.col("task") < 0, F.col("part")).otherwise(F.col("task") % parts)
+    out.repartitionById(parts, to).write.partitionBy("task").parquet(folder)
+    return spark.read.schema(KEPT).parquet(folder), folder
+
+
+class Answers:
+    """The answers to the questions of one task."""
+
+    def __init__(self, folder: str, task: int):
+        fs, at = place(folder)
+        self.raw: dict[int, list] = {}
+        for file in fs.get_file_info(pafs.FileSelector(f"{at}/task={task}", allow_not_found=True)):
+            if file.path.endswith(".parquet"):
+                with fs.open_input_file(file.path) as f:
+                    rows = pq.ParquetFile(f).read(columns=["run", "part", "check", "levels"])
+                for run, *rest in zip(*(c.to_pylist() for c in rows.columns)):
+                    self.raw.setdefault(run, []).append(rest)
+
+    def levels(self, run: int, keys: np.ndarray, parts: int) -> np.ndarray:
+        """Levels of the sorted distinct ``keys`` of a run."""
+        check, sizes = _check(keys), np.bincount(_part(keys, parts), minlength=parts)
+        found = {part: raw for part, seen, raw in self.raw.pop(run, []) if seen == check}
+        if sorted(found) != np.flatnonzero(sizes).tolist():
+            raise ValueError("documents came in another order when they were read again")
+        return np.concatenate([np.frombuffer(pa.decompress(found[i], int(sizes[i]), codec="zstd", asbytes=True), np.uint8) for i in sorted(found)]).astype(np.int64)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -183,94 +297,55 @@ DEQUANTISED = np.append(0.0, np.maximum(1.0, [(BASE ** (q - 1.0) + BASE**q - 1)
 
 
 class Filter:
-    """``parts`` segments of ``bits`` bits each. Keys: 64-bit hashes of n-grams."""
-
-    def __init__(self, parts: int, bits: int, table: np.ndarray):
-        self.parts, self.bits, self.table = parts, bits, table
+    """A segment of ``bits`` bits. Keys: 48 bits of n-grams' hashes."""
+
+    def __init__(self, bits: int, table: np.ndarray):
+        self.bits, self.table = bits, table
+
+    @classmethod
+    def build(cls, keys: np.ndarray, counts: np.ndarray) -> Filter:
+        """The segment of all ``keys``, BITS bits an item."""
+        top = levels(counts)
+        bits = max(64, -(-int(top.sum()) * BITS // 8) * 8)
+        table = np.zeros(bits, bool)
+        for level in range(1, int(top.max(initial=0)) + 1):
+            mine = keys[top >= level]
+            for i in range(0, len(mine), CHUNK):
+                at, step = cls.places(mine[i : i + CHUNK], level, bits)
+                for _ in range(PROBES):
+                    table[at.astype(np.int64)] = True
+                    at = at + step
+                    at[at >= bits] -= np.uint64(bits)
+        return cls(bits, np.packbits(table, bitorder="little"))
 
     @staticmethod
     def places(key: np.ndarray, level: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the item (key, level) that make its PROBES places within the segment."""
-        x = textscan.mix((key & _KEY) * _P + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+        x = textscan.mix(key * _P + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
         # multiply-shift instead of a remainder
         return (x >> _S32) * np.uint64(bits) >> _S32, ((x & _LOW) * np.uint64(bits - 1) >> _S32) + np.uint64(1)
 
-    def level(self, keys: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
-        """Level of each n-gram, or of those ``asked`` for; 0 if it isn't there. Repeated ones are probed once."""
-        if asked is not None:
-            out = np.zeros(len(keys), np.int64)
-            unique, back = np.unique(keys[asked], return_inverse=True)
-            out[asked] = self.level(unique)[back]
-            return out
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each n-gram; 0 if it isn't there."""
         out = np.zeros(len(keys), np.int64)
-        live = np.flatnonzero(keys != 0)
-        begin = (_part(keys[live], self.parts) * self.bits).astype(np.uint64)
-        level = 0
-        while len(live):
-            level += 1
-            at, step = self.places(keys[live], level, self.bits)
-            mine = np.arange(len(live))
-            for _ in range(PROBES):
-                place = begin[mine] + at
-                hit = (self.table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                mine = mine[hit]
-                at, step = at[hit], step[hit]
-                at = at + step
-                at[at >= self.bits] -= np.uint64(self.bits)
-            live, begin = live[mine], begin[mine]
-            out[live] = level
+        for i in range(0, len(keys), CHUNK):
+            here, level = keys[i : i + CHUNK], 0
+            live = np.arange(len(here))
+            while len(live):
+                level += 1
+                at, step = self.places(here[live], level, self.bits)
+                mine = np.arange(len(live))
+                for _ in range(PROBES):
+                    hit = (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    mine = mine[hit]
+                    at, step = at[hit], step[hit]
+                    at = at + step
+                    at[at >= self.bits] -= np.uint64(self.bits)
+                live = live[mine]
+                out[i + live] = level
         return out
 
 
-def build(counts: DataFrame, parts: int, max_bytes: int = MAX_BYTES) -> Filter:
-    """The filter of all counted n-grams whose counts are at or over the least that fits ``max_bytes``."""
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, words, raw in zip(*(batch[c] for c in ("part", "words", "counts"))):
-                c = np.frombuffer(raw.as_buffer(), "<i8")
-                least = np.minimum(c + words.as_py(), 1 << 16)
-                items = np.bincount(least, levels(c))
-                at = np.flatnonzero(items)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), p.as_py(), np.int32)), pa.array(at), pa.array(items[at].astype(np.int64))], names=["part", "least", "items"]
-                )
-
-    found = counts.select("part", "words", "counts").mapInArrow(histogram, "part int, least long, items long")
-    found = shared.written(found.groupBy("part", "least").agg(F.sum("items").alias("items")), "histogram")
-    # 65,536 rows at most; what a segment holds differs little from part to part
-    total = {r["least"]: r["items"] for r in found.groupBy("least").agg(F.sum("items").alias("items")).collect()}
-    least, items = 2, sum(total.values())
-    while items * BITS > 8 * max_bytes and items:
-        items -= total.get(least, 0)
-        least += 1
-    most = found.filter(F.col("least") >= least).groupBy("part").agg(F.sum("items").alias("n")).agg(F.max("n")).first()[0] or 0
-    bits = max(64, -(-most * BITS // 8) * 8)
-
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = np.zeros(bits, bool), None
-        for batch in batches:
-            for p, words, keys, raw in zip(*(batch[c] for c in ("part", "words", "keys", "counts"))):
-                part = p.as_py()
-                k, c = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(raw.as_buffer(), "<i8")
-                stays = c + words.as_py() >= least
-                k, top = k[stays], levels(c[stays])
-                for level in range(1, int(top.max(initial=0)) + 1):
-                    at, step = Filter.places(k[top >= level], level, bits)
-                    for _ in range(PROBES):
-                        table[at.astype(np.int64)] = True
-                        at = at + step
-                        at[at >= bits] -= np.uint64(bits)
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
-
-    made = counts.repartitionById(parts, "part").mapInArrow(segment, "part int, bits binary").collect()  # max_bytes in all
-    table = np.zeros(parts * bits // 8, np.uint8)
-    for part, raw in made:
-        table[part * bits // 8 : (part + 1) * bits // 8] = np.frombuffer(raw, np.uint8)
-    return Filter(parts, bits, table)
-
-
 def word_counts(counts: DataFrame) -> DataFrame:
     """word (64-bit hash) and n, one row a word."""
 
@@ -281,56 +356,64 @@ def word_counts(counts: DataFrame) -> DataFrame:
                     [pa.array(np.frombuffer(keys.as_buffer(), "<i8")), pa.array(np.frombuffer(raw.as_buffer(), "<i8"))], names=["word", "n"]
                 )
 
-    return counts.filter("words").select("keys", "counts").mapInArrow(run, "word long, n long")
+    return counts.filter("task = -1").select("keys", "counts").mapInArrow(run, "word long, n long")
 
 
-def score(docs: DataFrame, training: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_bytes: int = MAX_BYTES, max_words: int = MAX_WORDS) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_words: int = MAX_WORDS) -> DataFrame:
     """Score the texts of ``docs`` by a model of ``training``: all columns but text, n_tokens, n_known, train_tokens, base_score, score.
 
     ``docs`` shouldn't have columns of these names.
     """
     spark, order = docs.sparkSession, len(weights) + 1
     shared.small_batches(spark)
-    counted = count(training, order)
+    if re.search("Exchange|Limit|TakeOrdered", docs._jdf.queryExecution().executedPlan().toString()):
+        docs = shared.written(docs, "docs")  # else rows may come in another order when read again
+    parts = shared.parts(spark)
+    counted, folder = answers(docs, training, order)
     words = shared.written(word_counts(counted), "words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = build(counted, shared.parts(spark), max_bytes)
     bar = n // max_words if v > max_words else 0
     hot = words.filter(F.col("n") > bar).toArrow()  # max_words rows at most
     keys = hot["word"].to_numpy().view(np.uint64)
     by_key = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((model.parts, model.bits, model.table, keys[by_key], hot["n"].to_numpy()[by_key].astype(np.float64)))
+    sent = spark.sparkContext.broadcast((keys[by_key], hot["n"].to_numpy()[by_key].astype(np.float64)))
     bottom = float(n + v + 1)
     kept = [f for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, bits, table, known, times = sent.value
-        model = Filter(parts, bits, table)
-        for batch in batches:
-            for lo, hi, data, offsets in textscan.blocks(batch["text"]):
-                h, text = sequences(data, offsets)
-                size = np.bincount(text, minlength=hi - lo)
-                first = np.append(0, np.cumsum(size))
-                unique, back = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
-                there = known[at] == unique if len(known) else np.zeros(len(unique), bool)
-                exact = np.where(there, times[at] if len(known) else 0.0, 0.0)
-                base = np.add.reduceat(np.log10((exact[back] + 1) / bottom), first[:-1])
-                n_known = np.add.reduceat(there[back].astype(np.int64), first[:-1])
-                level = model.level(unique)[back]
-                p = ((DEQUANTISED[level] + 1) / bottom)
-                for g, w in zip(grams(h, text, order), weights):
-                    # an n-gram seen twice has a context and an ending seen twice: only words come with level 1
-                    before = np.append(0, level[:-1])
-                    before[g == 0] = 0
-                    level = np.minimum(model.level(g, (before > 1) & (level > 1)), before)
-                    seen = np.flatnonzero(before)
-                    p[seen] = w * DEQUANTISED[level[seen]] / DEQUANTISED[before[seen]] + (1 - w) * p[seen]
-                scores = np.add.reduceat(np.log10(p), first[:-1])
-                columns = [batch[f.name].slice(lo, hi - lo) for f in kept]
-                columns += [pa.array(x) for x in (size, n_known, base, scores)]
-                rare = ~there[back] if bar else np.zeros(len(h), bool)
-                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(text[rare], minlength=hi - lo))).astype(np.int32)), pa.array(h[rare].view(np.int64))))
+        known, times = sent.value
+        answered = Answers(folder, TaskContext.get().partitionId())
+        for i, rows in enumerate(runs(batches)):
+            h, text, longer = read(rows, order)
+            n_rows = sum(b.num_rows for b in rows)
+            size = np.bincount(text, minlength=n_rows)
+            first = np.append(0, np.cumsum(size))
+            unique, back = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
+            there = known[at] == unique if len(known) else np.zeros(len(unique), bool)
+            exact = np.where(there, times[at] if len(known) else 0.0, 0.0)
+            base = np.add.reduceat(np.log10((exact[back] + 1) / bottom), first[:-1])
+            n_known = np.add.reduceat(there[back].astype(np.int64), first[:-1])
+            rare = ~there[back] if bar else np.zeros(len(h), bool)
+            rare_words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(text[rare], minlength=n_rows))).astype(np.int32)), pa.array(h[rare].view(np.int64)))
+            asked, back = np.unique(np.concatenate([h, *longer]) >> _S16, return_inverse=True)
+            found = answered.levels(i, asked, parts)[back].reshape(order, len(h))
+            level = found[0]
+            p = (DEQUANTISED[level] + 1) / bottom
+            for g, its, w in zip(longer, found[1:], weights):
+                # an n-gram that was counted has a context and an ending that were
+                before = np.append(0, level[:-1])
+                before[g == 0] = 0
+                level = np.where((before > SEEN) & (level > SEEN), np.minimum(its, before), 0)
+                seen = np.flatnonzero(before)
+                p[seen] = w * DEQUANTISED[level[seen]] / DEQUANTISED[before[seen]] + (1 - w) * p[seen]
+            scores = np.add.reduceat(np.log10(p), first[:-1])
+            done = 0
+            for batch in rows:
+                mine = slice(done, done + batch.num_rows)
+                columns = [batch[f.name] for f in kept] + [pa.array(x[mine]) for x in (size, n_known, base, scores)]
+                columns.append(rare_words.slice(done, batch.num_rows))
+                done += batch.num_rows
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["n_tokens", "n_known", "base_score", "score", "rare"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
