@@ -137,3 +137,12 @@ def test_lm_spread_documents(docs):
     assert spread == pytest.approx(plain)
     assert bloom_lm.score(docs.select("doc_id", "text").limit(0), docs).count() == 0
     assert bloom_lm.score(docs.select("doc_id", "text"), docs.limit(0)).count() == len(ROWS)
+
+
+def test_lm_phrases_seen_once(spark):
+    said = "the quick brown fox jumps over a lazy dog"
+    training = spark.createDataFrame([(1, said), (2, " ".join(reversed(said.split())))], "doc_id long, text string")
+    held_out = spark.createDataFrame([(1, "quick brown fox"), (2, "brown over dog")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in bloom_lm.score(held_out, training).collect()}
+    # the same words each seen twice; two bigrams and a trigram of the first were seen once
+    assert rows[1].base_score == pytest.approx(rows[2].base_score) and rows[1].score > rows[2].score + 0.5

@@ -10,7 +10,7 @@ each level up to its own, and a look-up probes levels until one is missing. Each
 segment of BITS bits an item, so the filter grows with what was counted. It is neither broadcast nor
 gathered: documents are cut into runs of about RUN bytes of text, each run sends its distinct n-grams to
 the parts as a question, and the parts' levels go back through the shared folder to the task that scores
-the run. Words are entered from 1 occurrence on, longer n-grams from 2.
+the run. N-grams of every count enter, those seen once at level 1.
 
 Documents are read twice, once to ask and once to score; where their plan has a shuffle they are written
 first, and a run that doesn't match its answer raises an error.
@@ -55,8 +55,6 @@ RUN = 8 << 20
 
 END = np.uint64(0xA0761D6478BD642F)
 _P = np.uint64(0xE7037ED1A0B428DB)
-#: An n-gram seen twice has a context and an ending seen twice: only words come with level 1.
-SEEN = 1
 _LOW, _S16, _S32 = np.uint64((1 << 32) - 1), np.uint64(16), np.uint64(32)
 
 
@@ -242,7 +240,6 @@ def answers(docs: DataFrame, training: DataFrame, order: int = ORDER) -> tuple[D
             return
         none = (np.empty(0, np.uint64), np.empty(0, np.int64))
         (k, c), (w, n) = (_merge(*(np.concatenate(x) for x in zip(*(held.pop(kind) or [none])))) for kind in (NGRAMS, WORDS))
-        k, c = k[c > 1], c[c > 1]  # n-grams seen once never enter the filter
         for i in range(0, len(w), CHUNK):
             yield _rows([(0, part, 0, w[i : i + CHUNK].tobytes(), n[i : i + CHUNK].astype("<i8").tobytes(), None, -1)], KEPT)
         if not asked:
@@ -404,7 +401,7 @@ def score(docs: DataFrame, training: DataFrame, weights: tuple[float, ...] = WEI
                 # an n-gram that was counted has a context and an ending that were
                 before = np.append(0, level[:-1])
                 before[g == 0] = 0
-                level = np.where((before > SEEN) & (level > SEEN), np.minimum(its, before), 0)
+                level = np.where((before > 0) & (level > 0), np.minimum(its, before), 0)
                 seen = np.flatnonzero(before)
                 p[seen] = w * DEQUANTISED[level[seen]] / DEQUANTISED[before[seen]] + (1 - w) * p[seen]
             scores = np.add.reduceat(np.log10(p), first[:-1])
