@@ -146,3 +146,19 @@ def test_lm_phrases_seen_once(spark):
     rows = {r.doc_id: r for r in bloom_lm.score(held_out, training).collect()}
     # the same words each seen twice; two bigrams and a trigram of the first were seen once
     assert rows[1].base_score == pytest.approx(rows[2].base_score) and rows[1].score > rows[2].score + 0.5
+
+
+def test_rare_language(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    common, rare = ([f"{a}{b}{c}" for a in x for b in x for c in x[:4]] for x in ("etaoins", "xqzjkvw"))
+    rows = [(i, " ".join(rng.choice(common[:60], 400)), "en") for i in range(200)] + [(1000, " ".join(rng.choice(rare, 60)), "xx")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2).cache()
+    # less than 1/1000 of the words: no reference, so base rules alone
+    refs = quality_rules.references(table)
+    got = {r.doc_id: r for r in quality_rules.measure(table, refs).collect()}
+    assert set(refs) == {"en"} and got[1000].kept and not got[1000].base_failed and got[1000].char_distance is None
+    assert quality_rules.keep(table, refs).filter("doc_id = 1000").count() == 1
+    assert got[1].kept and got[1].char_distance < 0.1
+    # a reference from so many words on, whatever the share
+    monkeypatch.setattr(quality_rules, "REFERENCE", 50)
+    assert set(quality_rules.references(table)) == {"en", "xx"}

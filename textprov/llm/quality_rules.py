@@ -4,8 +4,9 @@ The references are histograms over all documents that pass the base rules: by la
 classes and of common words (each makes up at least COMMON of the language's words, so there are at
 most 1/COMMON of them). A word that common in the whole is that common in the part that some task
 reads, so the first pass sends only locally common words as candidates and the second counts those
-exactly; no vocabulary is shuffled. Languages with less than LANGUAGE of all words have no reference
-of their own; their documents, like those without a language, are held against the nearest reference.
+exactly; no vocabulary is shuffled. A language has a reference when it has REFERENCE words, whatever its
+share, or LANGUAGE of all words. Documents of other languages have nothing to be held against and are
+judged by the base rules alone; those without a language are held against the nearest reference.
 
 A document is rejected when a distance is above its bound plus ``noise``, what sampling that many
 words would bring. Documents shorter than MIN_WORDS words are judged by the base rules alone.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from . import shared, textscan
 
 COMMON, LANGUAGE = 1 / 500, 1 / 1000
+#: Words from which on a language's histograms are stable: its least common words come 40 times.
+REFERENCE = 20_000
 MIN_WORDS, CHAR_BOUND, WORD_BOUND = 30, 0.23, 0.22
 
 CLASSES = 13
@@ -112,7 +115,7 @@ def _languages(batch: pa.RecordBatch, lo: int, hi: int) -> list[str | None]:
 def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
     """By language: ``classes`` and ``words`` (shares, the last one that of all other words), ``hashes`` (sorted).
 
-    At most 1/LANGUAGE languages and 1/COMMON words of each reach the driver.
+    At most 1/LANGUAGE languages and one for each REFERENCE words reach the driver, with 1/COMMON words of each.
     """
     shared.small_batches(docs.sparkSession)
     texts = docs.select(F.col("lang").cast("string").alias("lang"), "text")
@@ -141,11 +144,12 @@ def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
 
     found = shared.written(texts.mapInArrow(candidates, "lang string, hash long, words long"), "candidates")
     total = found.agg(F.sum("words")).first()[0] or 0
-    big = [r[0] for r in found.groupBy("lang").agg(F.sum("words").alias("n")).filter((F.col("n") > 0) & (F.col("n") >= total * LANGUAGE) & F.col("lang").isNotNull()).collect()]
-    likely: dict[str, np.ndarray] = {}
-    for lang in big:
-        rows = found.filter((F.col("lang") == lang) & (F.col("words") == 0)).select("hash").distinct().toArrow()
-        likely[lang] = np.sort(rows["hash"].to_numpy().view(np.uint64))
+    big = [r[0] for r in found.groupBy("lang").agg(F.sum("words").alias("n")).filter((F.col("n") > 0) & (F.col("n") >= min(REFERENCE, total * LANGUAGE)) & F.col("lang").isNotNull()).collect()]
+    # one job for all languages
+    rows = found.filter((F.col("words") == 0) & F.col("lang").isNotNull()).groupBy("lang").agg(F.collect_set("hash").alias("hashes"))
+    wanted = docs.sparkSession.createDataFrame([(x,) for x in big], "lang string")
+    got = {r["lang"]: r["hashes"] for r in rows.join(F.broadcast(wanted), "lang").collect()}
+    likely = {x: np.sort(np.array(got.get(x, []), np.int64).view(np.uint64)) for x in big}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = {x: np.zeros(len(k) + 1, np.int64) for x, k in likely.items()}
@@ -153,8 +157,8 @@ def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
         for batch in batches:
             for lo, hi, data, offsets in textscan.blocks(batch["text"]):
                 m, langs = Measures(data, offsets), np.array(_languages(batch, lo, hi), object)
-                for x, keys in likely.items():
-                    mine = (langs == x) & ~m.base_failed
+                for x in set(langs) & likely.keys():
+                    keys, mine = likely[x], (langs == x) & ~m.base_failed
                     if mine.any():
                         words[x] += np.bincount(lookup(keys, m.hashes[mine[m.text]]), minlength=len(keys) + 1)
                         classes[x] += m.classes[mine].sum(axis=0)
@@ -201,7 +205,8 @@ def verdicts(m: Measures, langs: list[str | None], refs: dict) -> tuple[np.ndarr
     n = len(langs)
     chars, words = np.full(n, np.nan), np.full(n, np.nan)
     own = np.array([x if x in refs else None for x in langs], object)
-    judged = m.n_words >= MIN_WORDS
+    # a language without a reference has nothing to be far from
+    judged = (m.n_words >= MIN_WORDS) & np.array([x is None or x in refs for x in langs], bool)
     p = m.classes / np.maximum(m.classes.sum(axis=1, keepdims=True), 1)
     for name, ref in refs.items():
         mine = np.flatnonzero(judged & ((own == name) | np.equal(own, None)))
