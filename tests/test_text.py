@@ -44,3 +44,33 @@ def test_bounds_and_errors(spark):
     rows = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int")
     with pytest.raises(ValueError):
         sampling.stratified_sample(rows, 2)
+
+
+def test_vectorizer_counts_byte_pairs(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    import public_tokenizers
+
+    rows = [(1, "The cats' unbelievably long-winded tale, the cats' tale."), (2, "the cats' tale; unbelievably"), (3, "x"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    encode = tokens._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    tf = {}
+    for i, t in rows:
+        ids = encode(t or "")
+        tf[i] = Counter(tuple(ids[k : k + n]) for n in (1, 2) for k in range(len(ids) - n + 1))
+    df = Counter(g for c in tf.values() for g in c)
+    expected = {}
+    for i, c in tf.items():
+        w = {g: (1 + math.log(n)) * (math.log(5 / (df[g] + 1)) + 1) for g, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        expected |= {(i, g): x / norm for g, x in w.items()}
+    fitted = Vectorizer(Params((1, 2), 1, 1.0, True)).fit(docs)
+    got = {(r.doc_id, tuple(r.ngram)): r.value for r in fitted.transform(docs).collect()}
+    assert got == pytest.approx(expected)
+    assert [tuple(r.ngram) for r in fitted.vocab.orderBy("feature").collect()] == sorted(df)
+    fitted.save(str(tmp_path / "v"))
+    again = Vectorizer.load(spark, str(tmp_path / "v"))
+    assert again.tokenizer == "byte_bpe_50k" and {(r.doc_id, tuple(r.ngram)): r.value for r in again.transform(docs).collect()} == pytest.approx(expected)
+    words = Vectorizer(Params((1,), 1, 1.0, True), "words").fit_transform(docs)
+    assert {r.ngram[0] for r in words.collect()} >= {"cats'", "long-winded"}

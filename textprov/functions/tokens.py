@@ -22,7 +22,7 @@ def ngrams(tokens: Column, sizes: Sequence[int]) -> Column:
         return F.when(
             F.size(tokens) >= n,
             F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, n)),
-        ).otherwise(F.array().cast("array<array<string>>"))
+        ).otherwise(F.transform(F.slice(tokens, 1, 0), lambda x: F.array(x)))
 
     return F.flatten(F.array(*(windows(n) for n in sizes if n > 0)))
 
