@@ -74,3 +74,18 @@ def test_vectorizer_counts_byte_pairs(spark, tmp_path):
     assert again.tokenizer == "byte_bpe_50k" and {(r.doc_id, tuple(r.ngram)): r.value for r in again.transform(docs).collect()} == pytest.approx(expected)
     words = Vectorizer(Params((1,), 1, 1.0, True), "words").fit_transform(docs)
     assert {r.ngram[0] for r in words.collect()} >= {"cats'", "long-winded"}
+
+
+def test_token_frequencies_has_all_ranks(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from textprov.plans import queries
+
+    docs = [(i, " ".join(f"w{k}" for k in range(150 + i)), "s") for i in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(map(tuple, queries.QUERIES["token_frequencies"](spark, str(tmp_path)).select("label", "token", "n", "rank").collect()))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.SQL["token_frequencies"]).fetchall())
+    assert max(r[3] for r in got) == 153 and len(got) == 152 + 153

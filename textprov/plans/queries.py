@@ -184,6 +184,7 @@ QUERIES = {
     "per_source_accuracy": lambda s, d: _rounded(_C.per_source(scored(s, d))),
     "error_rate_topk": lambda s, d: _rounded(_C.per_source(scored(s, d)).orderBy(F.desc(F.round("error_rate", 6)), "source").limit(15).select("source", "error_rate")),
     "token_zipf": lambda s, d: _C.token_counts(tokens_by_label(s, d)).filter("rank <= 100"),
+    "token_frequencies": lambda s, d: _C.token_counts(tokens_by_label(s, d)),
     "token_kl": lambda s, d: _rounded(_C.kl_divergence(tokens_by_label(s, d))),
     "json_output": json_output,
     "bpe_tokenize": bpe_tokens,
@@ -277,6 +278,7 @@ round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp * tn - fp * fn) / sqrt((t
 accuracy < 0.85 OR abs(ai_ratio - mean_p) > 0.3 AS outlier FROM m""",
     "error_rate_topk": f"WITH {_SCORED}, m AS ({_SOURCES}) SELECT source, round(1 - accuracy, 6) AS error_rate FROM m ORDER BY 2 DESC, source LIMIT 15",
     "token_zipf": f"WITH {_TOKENS} SELECT label, token, n, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, token) AS r FROM (SELECT label, token, count(*) AS n FROM tokens GROUP BY ALL)) WHERE r <= 100",
+    "token_frequencies": f"WITH {_TOKENS} SELECT label, token, n, CAST(row_number() OVER (PARTITION BY label ORDER BY n DESC, token) AS INT) AS rank FROM (SELECT label, token, count(*) AS n FROM tokens GROUP BY ALL)",
     "token_kl": f"""WITH {_TOKENS}, b AS (SELECT token, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM tokens GROUP BY token),
 s AS (SELECT (n0 / sum(n0) OVER () + 1e-10) / (1 + 1e-10 * count(*) OVER ()) AS p, (n1 / sum(n1) OVER () + 1e-10) / (1 + 1e-10 * count(*) OVER ()) AS q FROM b)
 SELECT round(sum(p * ln(p / q)), 6) AS kl, count(*) AS vocabulary FROM s""",
