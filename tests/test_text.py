@@ -89,3 +89,11 @@ def test_token_frequencies_has_all_ranks(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert got == sorted(con.execute(queries.SQL["token_frequencies"]).fetchall())
     assert max(r[3] for r in got) == 153 and len(got) == 152 + 153
+
+
+def test_samples_take_distinct_rows(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 0), (1, 0), (2, 0), (3, 1), (4, 1)], "doc_id long, label int")
+    assert sorted(r.doc_id for r in sampling.stratified_sample(rows, 2).collect()) == [1, 2, 3, 4]
+    assert sorted(r.doc_id for r in sampling.sample(rows, 4).collect()) == [1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        sampling.stratified_sample(rows, 3)

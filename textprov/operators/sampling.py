@@ -14,7 +14,8 @@ def order_key(seed: int, key: str = "doc_id") -> Column:
 
 
 def stratified_sample(df: DataFrame, n: int, by: str = "label", seed: int = 42, strict: bool = True) -> DataFrame:
-    """Exactly ``n`` rows of each stratum; with ``strict`` a stratum of fewer rows raises an error."""
+    """Exactly ``n`` distinct rows of each stratum; with ``strict`` a stratum of fewer rows raises an error."""
+    df = df.distinct()
     if strict:
         short = df.groupBy(by).count().filter(F.col("count") < n).limit(1).collect()
         if short:
@@ -24,7 +25,8 @@ def stratified_sample(df: DataFrame, n: int, by: str = "label", seed: int = 42,
 
 
 def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(order_key(seed), "doc_id").limit(n)
+    """``n`` distinct rows, or all if there are fewer."""
+    return df.distinct().orderBy(order_key(seed), "doc_id").limit(n)
 
 
 def stratified_split(df: DataFrame, by: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
