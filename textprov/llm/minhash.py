@@ -108,7 +108,7 @@ def _digests(h: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and its band keys."""
+    """file, row, doc_id, n_shingles, digest of the set and its band keys of ``docs`` (file, row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,25 +123,29 @@ def signatures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     pa.array(np.append(0, np.cumsum(np.where(size > 0, BANDS, 0))).astype(np.int32)), pa.array(keys[size > 0].ravel())
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, n), pa.array(size.astype(np.int64)), _digests(h, first), bands],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    [batch["file"].slice(lo, n), batch["row"].slice(lo, n), ids.slice(lo, n), pa.array(size.astype(np.int64)), _digests(h, first), bands],
+                    names=["file", "row", "doc_id", "n_shingles", "digest", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    schema = "file long, row long, doc_id long, n_shingles long, digest binary, bands array<long>"
+    return docs.select("file", "row", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _sets(rows: DataFrame, window: int) -> DataFrame:
-    """digest and set (sorted 64-bit hashes, as bytes) of each text of ``rows``."""
+def _sets(docs: DataFrame, folder: str, window: int) -> DataFrame:
+    """cid, size and set (sorted 64-bit hashes, as bytes) of the rows of ``docs`` (file, row, text) that ``folder`` has a cid for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.Decisions(folder, -1)
         for batch in batches:
-            for lo, hi, data, offsets in textscan.blocks(batch["text"]):
+            cid = wanted.look(batch["file"].to_numpy(), batch["row"].to_numpy())
+            texts, cid = batch["text"].filter(pa.array(cid >= 0)), cid[cid >= 0]
+            for lo, hi, data, offsets in textscan.blocks(texts):
                 h, text = shingles(data, offsets, window)
                 first = np.searchsorted(text, np.arange(hi - lo + 1))
-                columns = [_digests(h, first), _binary(h.tobytes(), 8 * first), _binary(*ranges(h, text, first))]
-                yield pa.RecordBatch.from_arrays(columns, names=["digest", "elements", "ranges"])
+                columns = [pa.array(cid[lo:hi]), pa.array(np.diff(first).astype(np.int64)), _binary(h.tobytes(), 8 * first), _binary(*ranges(h, text, first))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cid", "size", "elements", "ranges"])
 
-    return rows.select("text").mapInArrow(run, "digest binary, elements binary, ranges binary").filter("digest IS NOT NULL")
+    return docs.select("file", "row", "text").mapInArrow(run, "cid long, size long, elements binary, ranges binary")
 
 
 def _binary(raw: bytes, offsets: np.ndarray) -> pa.Array:
@@ -221,14 +225,10 @@ def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int)
 
     pairs = members.filter((F.col("cid") != F.col("hub.cid")) & near_size(F.col("size"), F.col("hub.size")))
     pairs = shared.written(pairs.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
-    # the sets of the classes that share a bucket with another
-    needed = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "digest", "rep_id", "size")
-    needed = shared.written(needed, "needed")
-    here = docs.select("doc_id", "text").join(
-        needed.select(F.col("rep_id").alias("__rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi"
-    )
-    sets = _sets(here, window).join(needed.select("cid", "digest", "size"), "digest").select("cid", "size", "elements", "ranges")
-    sets = shared.written(sets.dropDuplicates(["cid"]), "sets")
+    # the sets of the classes that share a bucket with another, from the one text that stands for each
+    needed = classes.join(members.select("cid").distinct(), "cid", "left_semi")
+    folder = shared.save_decisions(needed.select("rep.file", "rep.row", F.col("cid").alias("value")), "needed")
+    sets = shared.written(_sets(docs, folder, window), "sets")
     members, links, tried, comps = members.drop("hub"), None, None, None
     hubs = members.groupBy("key").agg(F.min("cid").alias("cid"))
     rounds = 0
@@ -257,35 +257,61 @@ def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int)
         members, hubs = members.drop("comp"), hubs.select("key", "hub.cid")
 
 
-def near_duplicates(docs: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, window: int = WINDOW, percent: int = PERCENT, placed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept; file and row too if ``placed`` (``docs`` has them then)."""
     shared.small_batches(docs.sparkSession)
+    if not placed:
+        docs, file, row = shared.located(docs)
+        docs = docs.select("doc_id", "text", file.alias("file"), row.alias("row"))
     rows = shared.written(signatures(docs, window), "signatures")
+    # a class stands for all texts of one set; its bands and place are those of one of them
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")
+        F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"),
+        F.min(F.struct("file", "row")).alias("rep"),
     )
-    classes = shared.written(classes, "classes")
-    classes = shared.written(classes.withColumn("cid", F.monotonically_increasing_id()), "numbered")
-    comps = _components(docs, classes, window, percent)
-    known = classes.select("cid", "digest", "rep_id", "n_rows")
-    in_comp = shared.written(known.join(comps, "cid", "left"), "labelled")
-    lowest = in_comp.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("rep_id").alias("of_comp"))
-    both = in_comp.filter("comp IS NOT NULL OR n_rows > 1").join(lowest, "comp", "left")
-    groups = both.select("digest", "n_rows", F.when(F.col("comp").isNull(), F.col("rep_id")).otherwise(F.col("of_comp")).alias("lowest"))
-    groups = shared.written(groups, "groups")
+    with shared.scratch() as stays:
+        classes = shared.written(classes, "classes")
+        classes = shared.written(classes.withColumn("cid", F.monotonically_increasing_id()), "numbered")
+        comps = _components(docs, classes, window, percent)
+        known = classes.select("cid", "digest", "rep_id", "n_rows")
+        in_comp = shared.written(known.join(comps, "cid", "left"), "labelled")
+        lowest = in_comp.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("rep_id").alias("of_comp"))
+        both = in_comp.filter("comp IS NOT NULL OR n_rows > 1").join(lowest, "comp", "left")
+        groups = both.select("digest", "n_rows", F.when(F.col("comp").isNull(), F.col("rep_id")).otherwise(F.col("of_comp")).alias("lowest"))
+        groups = shared.written(groups, "groups")
+        stays.append(groups)
     out = shared.join_groups(rows.drop("bands"), groups, "digest", "n_rows")
     component = F.when(F.col("n_rows").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    out = out.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *(("file", "row") if placed else ()))
 
 
 def keep(docs: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's, all columns; ids should be unique."""
-    decided = shared.written(near_duplicates(docs, window, percent), "near")
-    gone = decided.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` whose id is its component's, all columns; decisions are applied where rows are read, so no text is shuffled."""
+    docs, file, row = shared.located(docs)
+    with shared.scratch() as stays:
+        rows = docs.select("doc_id", "text", file.alias("file"), row.alias("row"))
+        out = near_duplicates(rows, window, percent, placed=True).filter("NOT kept")
+        folder = shared.save_decisions(out.select("file", "row", F.lit(0).alias("value")), "near")
+        stays.append(folder)
+    return shared.kept(docs, file, row, folder)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(t[i:i + {WINDOW - 1}], ' ') AS g
+  FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - {WINDOW - 1}, 1) + 1)) AS i FROM w WHERE len(t) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * k >= {PERCENT} * (p.n + q.n - k)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edges.y FROM reach JOIN edges ON reach.b = edges.x),
+found AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM found LEFT JOIN sizes USING (doc_id)
+"""
