@@ -17,7 +17,6 @@ QUERIES = {
     "op10_token_counts": token_counts.op10,
 }
 SQL = {
-    "op9_mixing": mixing.OP9_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }

@@ -21,7 +21,7 @@ import numpy as np
 from . import textscan
 
 #: Bounds of the cache, and pieces encoded as one text.
-MAX_WORDS, MAX_IDS, RUN = 1_500_000, 16_000_000, 256
+MAX_WORDS, MAX_IDS, RUN = 600_000, 4_000_000, 256
 
 _encoders: dict[str, Encoder] = {}
 
