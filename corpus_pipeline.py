@@ -12,25 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textprov.llm import exact_dedup, minhash, mixing, packing, quality_rules, shared
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and lie near their language's reference. Null and empty texts fail; null ids, ties and
+    repeated rows are judged each for itself; columns of any name are passed on; an empty table stays empty."""
     return quality_rules.keep(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (null counts as empty) the row of the largest doc_id, a null id below all others; one of rows that are
+    equal in both. Columns of any name are passed on; an empty table stays empty."""
     return exact_dedup.keep(docs, exact_dedup.DigestIndex(spark, shared.new_folder(spark, "digest-index")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of the smallest doc_id of each group of near copies. Texts without words are linked with nothing; rows that share
+    an id share its fate; null ids stay where their group has no other. Columns of any name are passed on; an empty table stays empty."""
     return minhash.keep(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    """Each row 0 to ``MAX_EPOCHS`` times, by its source's budget of tokens. Null texts have no tokens, null names are '', repeated
+    rows are rows of their own, ties of the hash are ordered by id. Columns of any name are passed on; an empty table stays empty."""
+    return mixing.mix(docs, TOKENIZER, weights=mixing.WEIGHTS, domains=mixing.DOMAINS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    """Pieces of all rows, placed in sequences. A null or empty text is its end id; null ids and repeated rows are documents of
+    their own; other columns are not read; an empty table gives no pieces."""
+    return packing.pack(docs, TOKENIZER, end_id=2)
 
 
 STAGES = [
