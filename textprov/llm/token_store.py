@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pfor, shared, textscan, wordcache
+from .shared import place
 
 MAGIC = b"TPPFOR01"
 FOOTER = struct.Struct("<QQQ8s")
@@ -36,10 +37,6 @@ NULL_ID = -(2**63)
 FLUSH = 256 * pfor.BLOCK
 
 
-def place(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
-
-
 class ShardWriter:
     def __init__(self, folder: str, shard: int):
         self.fs, at = place(folder)
@@ -167,6 +164,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
     rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
     # one row a shard
     made = rows.mapInArrow(store, "shard int, path string, n_docs long, n_tokens long").collect()
+    for left in shared.place(folder)[0].get_file_info(pafs.FileSelector(shared.place(folder)[1], allow_not_found=True)):
+        if left.base_name.startswith("_"):  # of attempts that failed
+            shared.place(folder)[0].delete_file(left.path)
     start, manifest = 0, []
     for shard, path, n_docs, n_tokens in sorted(made):
         manifest.append((shard, path, n_docs, n_tokens, start))

@@ -90,7 +90,9 @@ class Encoder:
         """Start and end of each piece, whether it may be encoded behind and before others, and pieces by text."""
         if self.kind == "dropped":
             words = textscan.Words(data, offsets)
-            return words.starts, words.ends, np.ones(len(words.starts), bool), words.counts
+            # the normaliser keeps the width of ASCII alone, and widths prove the seams
+            wide = np.append(0, np.cumsum(data >= 0x80))
+            return words.starts, words.ends, wide[words.starts] == wide[words.ends], words.counts
         starts = offsets[:-1]
         if self.kind == "kept":
             space = np.ones(len(data) + 2, bool)
