@@ -7,7 +7,7 @@ added, the ``k`` largest keys are a sample without replacement in proportion to
 
 The raw model counts all texts. The target model counts the texts of at most MAX_TARGET labelled rows of
 the target class, chosen by a seeded hash of doc_id: those ids are broadcast, so no text is shuffled.
-Bucket counts are added up by slices, one row a task and slice.
+Bucket counts are added up by slices, one row a task and slice, as a tree.
 
 ``k`` is given, or the number of texts times the target's share of the labelled rows.
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from . import shared, textscan
 
 BUCKETS, ALPHA, SEED, MAX_TARGET = 1 << 16, 1.0, 7, 200_000
 SLICE = 1 << 12
+#: Rows of counts that are summed at once.
+FAN = 256
 
 #: 0 white space, 1 letters and digits, 2 other signs
 KIND = np.full(256, 2, np.uint8)
@@ -82,25 +85,39 @@ def models(docs: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> np.nd
                 total[1] += np.bincount(at[flags[lo:hi][text]], minlength=buckets)
         if total.any():
             cut = range(0, buckets, SLICE)
+            group = TaskContext.get().partitionId() // FAN
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(cut)), pa.int32()), pa.array([total[:, i : i + SLICE].tobytes() for i in cut], pa.binary())], names=["slice", "counts"]
+                [pa.array(range(len(cut)), pa.int32()), pa.array([group] * len(cut), pa.int32()), pa.array([total[:, i : i + SLICE].tobytes() for i in cut], pa.binary())],
+                names=["slice", "group", "counts"],
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        now, total = None, None
         for batch in batches:
-            for k, raw in zip(batch["slice"].to_pylist(), batch["counts"]):
+            for k, group, raw in zip(batch["slice"].to_pylist(), batch["group"].to_pylist(), batch["counts"]):
                 counts = np.frombuffer(raw.as_buffer(), np.int64)
-                total[k] = total[k] + counts if k in total else counts
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"]
-            )
-
-    schema = "slice int, counts binary"
-    found = flagged.select("text", "target").mapInArrow(run, schema).repartition("slice").mapInArrow(add, schema).collect()  # 16 bytes a bucket
+                if (k, group) == now:
+                    total = total + counts
+                    continue
+                if now:
+                    yield row(now, total)
+                now, total = (k, group), counts
+        if now:
+            yield row(now, total)
+
+    def row(key: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([key[0]], pa.int32()), pa.array([key[1] // FAN], pa.int32()), pa.array([total.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["slice", "group", "counts"])
+
+    # a tree: each sum is of FAN rows at most, however many tasks there are
+    schema = "slice int, group int, counts binary"
+    found = flagged.select("text", "target").mapInArrow(run, schema)
+    tasks = max(1, flagged.rdd.getNumPartitions())
+    while tasks > 1:
+        found = found.repartition("slice", "group").sortWithinPartitions("slice", "group").mapInArrow(add, schema)
+        tasks = -(-tasks // FAN)
     total = np.zeros((2, buckets), np.int64)
-    for k, raw in found:
+    for k, _, raw in found.collect():  # 16 bytes a bucket
         total[:, k * SLICE : (k + 1) * SLICE] = np.frombuffer(raw, np.int64).reshape(2, -1)
     if not total[1].any():
         return np.zeros(buckets)
@@ -119,7 +136,7 @@ def resample(docs: DataFrame, labels: DataFrame, is_target, k: int | None = None
             ids = batch["doc_id"].cast(pa.int64())
             for lo, hi, data, offsets in textscan.blocks(batch["text"]):
                 at, text = features(data, offsets, buckets)
-                weight = np.bincount(text, ratio[at], minlength=hi - lo)
+                weight = np.bincount(text, ratio[at], minlength=hi - lo).astype(float)
                 mine = ids.slice(lo, hi - lo)
                 by = mine.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
                 for i in np.flatnonzero(mine.is_null().to_numpy(zero_copy_only=False)):
