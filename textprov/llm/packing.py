@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences of at most ``capacity`` tokens, by exact complements.
 
 Pieces differ only by length, so packing needs just the histogram of lengths: ``capacity`` numbers,
-whatever the input. ``plan`` packs that histogram on the driver: for the longest length left it looks
-for one, two or three lengths whose sum fills the gap exactly, as long as their counts last, then
-takes the best fit and looks again. Each pattern of lengths empties a length, so there are few
+whatever the input. ``plan`` packs that histogram on the driver: for the longest length left it looks up
+the gap in a hash index of the sums of one, two and three lengths, takes a combination that fills it
+exactly as long as its counts last, and the best fit where there is none, then looks again. Each pattern of lengths empties a length, so there are few
 patterns. A piece finds its place by its rank among the pieces of its length; ranks come from counts
 by (task, length), so no length, however common, is gathered anywhere.
 
@@ -26,46 +26,57 @@ from . import shared, textscan, wordcache
 
 
 class Complements:
-    """Lengths still available, and the combinations of one, two or three that sum to a gap."""
+    """Lengths still available, and a hash index from a sum to the combinations of one, two or three of them that make it.
+
+    An entry, by (number of lengths, sum), holds the combination in use. Counts only fall, so a combination
+    that was passed over never comes back: each entry moves on through its combinations once.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.left = counts.astype(np.int64).copy()
+        self.left = np.asarray(counts).tolist()
+        self.index: dict[tuple[int, int], list] = {}
+
+    def _pairs(self, total: int, most: int) -> Iterator[tuple[int, int]]:
+        left = self.left
+        for high in range(min(total - 1, most, len(left) - 1), (total - 1) // 2, -1):
+            if left[high] and left[total - high]:
+                yield high, total - high
+
+    def _combinations(self, size: int, total: int) -> Iterator[tuple[int, ...]]:
+        """Longest length first."""
+        most = len(self.left) - 1
+        if size == 1 and 0 < total <= most:
+            yield (total,)
+        elif size == 2:
+            yield from self._pairs(total, most)
+        elif size == 3:
+            for longest in range(min(total - 2, most), (total + 2) // 3 - 1, -1):
+                if self.left[longest]:
+                    yield from ((longest, *pair) for pair in self._pairs(total - longest, longest))
+
+    def _there(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.left[n] >= lengths.count(n) for n in lengths)
+
+    def look(self, size: int, total: int) -> tuple[int, ...] | None:
+        entry = self.index.get((size, total))
+        if entry is None:
+            more = self._combinations(size, total)
+            entry = self.index[size, total] = [more, next(more, None)]
+        while entry[1] is not None and not self._there(entry[1]):
+            entry[1] = next(entry[0], None)
+        return entry[1]
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
         """Lengths that fill ``gap`` exactly; fewest first, then the longest."""
-        left = self.left
-        if gap < len(left) and left[gap]:
-            return (gap,)
-        pair = self._pair(gap)
-        if pair:
-            return pair
-        for longest in np.flatnonzero(left[: max(gap - 1, 0)])[::-1].tolist():
-            if 3 * longest < gap:
-                break
-            left[longest] -= 1
-            pair = self._pair(gap - longest)
-            left[longest] += 1
-            if pair and pair[0] <= longest:
-                return (longest, *pair)
-        return None
-
-    def _pair(self, gap: int) -> tuple[int, int] | None:
-        if gap < 2:
-            return None
-        high = np.arange(gap - 1, (gap - 1) // 2, -1)
-        low = gap - high
-        ok = (self.left[np.minimum(high, len(self.left) - 1)] > (high == low)) & (self.left[low] > 0) & (high < len(self.left))
-        at = np.flatnonzero(ok)
-        return (int(high[at[0]]), int(low[at[0]])) if len(at) else None
+        return self.look(1, gap) or self.look(2, gap) or self.look(3, gap)
 
     def best(self, gap: int) -> int | None:
-        at = np.flatnonzero(self.left[: gap + 1])
-        return int(at[-1]) if len(at) else None
+        return next((n for n in range(min(gap, len(self.left) - 1), 0, -1) if self.left[n]), None)
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths, and how many sequences follow each. ``counts[n]``: pieces of length n."""
-    index = Complements(np.asarray(counts))
+    index = Complements(counts)
     left, patterns = index.left, []
     for longest in range(capacity, 0, -1):
         while left[longest]:
@@ -80,9 +91,10 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
                     left[n] -= 1
                 pattern += taken
                 gap -= sum(taken)
-            lengths, times = np.unique(pattern, return_counts=True)
-            more = int((left[lengths] // times).min())
-            left[lengths] -= more * times
+            times = {n: pattern.count(n) for n in pattern}
+            more = min(left[n] // k for n, k in times.items())
+            for n, k in times.items():
+                left[n] -= more * k
             patterns.append((tuple(pattern), more + 1))
     return patterns
 
