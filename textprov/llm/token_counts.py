@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import shared, textscan, wordcache
 
-LONG_BYTES, CHUNK, OVERLAP = 1 << 16, 1 << 15, 1 << 10
+LONG_BYTES, CHUNK, OVERLAP = 1 << 14, 1 << 13, 1 << 8
 
 
 class LongCounter:
