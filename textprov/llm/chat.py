@@ -1,20 +1,21 @@
 r"""Chat formatting from event logs: fold events into final messages, render, and read back.
 
-Events are partitioned by conversation, sorted by sequence and folded while they stream by: a
-``delta`` is appended to its message, an ``edit`` replaces its text, a ``regenerate`` empties it for the
-deltas to come, a ``delete`` drops it; any other kind, or none, is a whole message. A message is a
-(conversation, turn). Deltas of a message are folded with their own sort key, so nothing but the message
-at hand is held. A conversation is digested in order by one task, which its chained digest demands;
-the task streams it through an external sort and never holds it.
+A message is a (conversation, turn), and ``msg`` where the log has one. Its events, in order of sequence: a
+``delta`` is appended, an ``edit`` replaces the text, a ``regenerate`` empties it for the deltas to come and
+drops what was said in later turns up to then, a ``delete`` drops the message; any other kind, or none, is a
+whole message. What regenerations drop is known from the turns alone: for each turn the last regeneration in
+an earlier one. So texts are shuffled by message, not by conversation, and a conversation with a third of
+all rows is folded by many tasks. A conversation is digested in order by one task, which its chained digest
+demands; the task streams it through an external sort and never holds it.
 
 Template: ``<s>role[INST]text[/INST]</s>`` and a line feed for each turn. In roles and texts a backslash
 is doubled and one is put behind the first character of every control string, so that control strings
 never come from texts and ``unescape`` restores them. The output has one row a turn: rendered text, its
 place in the conversation's text, and the loss mask as (start, length) in it, in code points.
 
-Defined results: null texts and roles are empty; null conversation ids form one conversation; equal
-sequence numbers are ordered by role, then text; repeated rows are turns of their own unless kinds make
-them parts of a message; empty tables give no rows; other columns are not read.
+Defined results: null texts and roles are empty; null conversation ids form one conversation; null turns
+come first; equal sequence numbers and equal turns are ordered by role, then text; repeated rows are turns of
+their own unless kinds make them parts of a message; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -56,26 +57,37 @@ def parse(turn: str) -> tuple[str, str]:
     return unescape(found[1]), unescape(found[2])
 
 
+def alive(rows: DataFrame) -> DataFrame:
+    """``rows`` (conv_id, turn, seq, kind) without what a regeneration of an earlier turn dropped."""
+    turns = rows.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"))
+    before = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = turns.withColumn("cut", F.max("again").over(before)).filter("cut IS NOT NULL")
+    cuts = cuts.select(F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), "cut")
+    same = F.col("conv_id").eqNullSafe(F.col("__conv")) & F.col("turn").eqNullSafe(F.col("__turn"))
+    return rows.join(cuts, same, "left").filter("cut IS NULL OR seq >= cut").drop("__conv", "__turn", "cut")
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of the final messages of ``events`` (conv_id, turn, role, text, kind, seq).
+    """conv_id, turn, role, text of the final messages of ``events`` (conv_id, turn, role, text, kind, seq, msg).
 
-    Without the column ``kind`` every row is a message. ``seq`` orders the events of a message.
+    Without the column ``kind`` every row is a message. ``seq`` orders the events of a conversation.
     """
-    rows = events.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *(c for c in ("kind", "seq") if c in events.columns))
+    rows = events.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *(c for c in ("kind", "seq", "msg") if c in events.columns))
     if "kind" not in rows.columns:
         return rows.select("conv_id", "turn", "role", "text")
-    if "seq" not in rows.columns:
-        rows = rows.withColumn("seq", F.lit(0))
+    for name in ("seq", "msg"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, role, parts = None, "", None
         out: list[tuple] = []
         for batch in batches:
-            for conv, turn, who, text, kind in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "role", "text", "kind"))):
-                if now is None or now != (conv, turn):
+            for conv, turn, msg, who, text, kind in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "msg", "role", "text", "kind"))):
+                if now is None or now != (conv, turn, msg):
                     if parts is not None:
-                        out.append((*now, role, "".join(parts)))
-                    now, role, parts = (conv, turn), who, None
+                        out.append((*now[:2], role, "".join(parts)))
+                    now, role, parts = (conv, turn, msg), who, None
                 if kind == "delta":
                     parts = parts or []
                     parts.append(text)
@@ -91,17 +103,37 @@ def fold(events: DataFrame) -> DataFrame:
                 yield _batch(out)
                 out = []
         if parts is not None:
-            yield _batch([(*now, role, "".join(parts))])
+            yield _batch([(*now[:2], role, "".join(parts))])
 
     def _batch(found: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["conv_id", "turn", "role", "text"])
 
-    # a message is one hash key, so a conversation with a third of all rows is spread over its messages
-    rows = rows.repartition("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", "role", "text")
+    shared.small_batches(events.sparkSession)
+    rows = rows.withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")})
+    rows = alive(rows).select("conv_id", "turn", "msg", "seq", "role", "text", "kind")
+    rows = rows.repartition("conv_id", "turn", "msg").sortWithinPartitions("conv_id", "turn", "msg", "seq", "role", "text")
     return rows.mapInArrow(run, "conv_id long, turn long, role string, text string")
 
 
+def events(messages: DataFrame, piece: int = 256) -> DataFrame:
+    """The log that a chat server would have of ``messages`` (conv_id, turn, role, text): answers are streamed once as a draft,
+    regenerated, and streamed in pieces; all else is sent empty and then edited. ``fold`` gives the messages back."""
+    text, answer = F.coalesce("text", F.lit("")), F.coalesce(F.col("role") == "assistant", F.lit(False))
+
+    def event(kind: str, said: F.Column) -> F.Column:
+        return F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+
+    none = F.lit("")
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), lambda x: event("delta", x))
+    streamed = F.concat(F.array(event("message", none), event("delta", F.lit("draft")), event("regenerate", none)), pieces)
+    log = F.when(answer, streamed).otherwise(F.array(event("message", none), event("edit", text)))
+    rows = messages.select("conv_id", "turn", "role", F.monotonically_increasing_id().alias("msg"), log.alias("log"))
+    rows = rows.select("conv_id", "turn", "role", "msg", F.posexplode("log").alias("k", "e"))
+    seq = F.coalesce(F.col("turn").cast("long"), F.lit(0)) * F.lit(1 << 24) + F.col("k")
+    return rows.select("conv_id", "turn", "role", "msg", seq.alias("seq"), "e.kind", "e.text")
+
+
 def write(messages: DataFrame, folder: str, loss_roles: tuple[str, ...] = ("assistant",)) -> None:
     """Render ``messages`` (conv_id, turn, role, text) to Parquet; no shuffle."""
 
@@ -127,22 +159,32 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, start, length in zip(*(batch[c].to_pylist() for c in ("formatted", "loss_start", "loss_length"))):
+                role, body = parse(text)
+                masked = unescape(text[start : start + length])
+                rows.append((role, body, None if masked == body else masked, len(text)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))] if rows else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["turn"], *columns], names=["conv_id", "turn", "role", "text", "masked", "size"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started, now, turns, loss = False, None, None, None
         n = chars = size = 0
         out: list[tuple] = []
         for batch in batches:
-            for conv, text, start, length in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_length"))):
+            for conv, role, text, masked, its in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text", "masked", "size"))):
                 if not started or conv != now:
                     if started:
                         out.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), size))
                     started, now, turns, loss = True, conv, hashlib.sha256(), hashlib.sha256()
                     n = chars = size = 0
-                role, body = parse(text)
-                turns.update(f"{role}\n{body}\n".encode())
-                masked = unescape(text[start : start + length])
+                turns.update(f"{role}\n{text}\n".encode())
+                masked = text if masked is None else masked
                 loss.update(masked.encode())
-                n, chars, size = n + 1, chars + len(masked), size + len(text)
+                n, chars, size = n + 1, chars + len(masked), size + its
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
                 out = []
@@ -150,7 +192,8 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
             out = [(now, n, turns.hexdigest(), chars, loss.hexdigest(), size)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    rows = spark.read.parquet(folder).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    rows = spark.read.parquet(folder).mapInArrow(parsed, "conv_id long, turn long, role string, text string, masked string, size long")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -162,7 +205,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     folder = shared.new_folder(spark, "chat")
-    write(fold(rows.unionByName(probe)), folder)
+    write(fold(events(rows.unionByName(probe))), folder)
     return read_back(spark, folder)
 
 
@@ -176,9 +219,9 @@ WITH given AS (
   SELECT *, (SELECT {_LENGTH} FROM (SELECT role AS t)) + (SELECT {_LENGTH} FROM (SELECT text AS t)) + {len("<s>[INST][/INST]</s>") + 1} AS size FROM given
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
        CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
