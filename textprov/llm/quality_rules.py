@@ -2,9 +2,9 @@
 
 The references are histograms over all documents that pass the base rules: by language, of character
 classes and of common words (each makes up at least COMMON of the language's words, so there are at
-most 1/COMMON of them). A word that common in the whole is that common in the part that some task
-reads, so the first pass sends only locally common words as candidates and the second counts those
-exactly; no vocabulary is shuffled. A language has a reference when it has REFERENCE words, whatever its
+most 1/COMMON of them). In the first pass a task sends the words that make up COMMON / 2 of what it reads, with
+their counts, which are added up: at most 2/COMMON words of a language can be common, whatever the number
+of tasks. The second pass counts those exactly; no vocabulary is shuffled. A language has a reference when it has REFERENCE words, whatever its
 share, or LANGUAGE of all words. Documents of other languages have nothing to be held against and are
 judged by the base rules alone; those without a language are held against the nearest reference.
 
@@ -115,7 +115,7 @@ def _languages(batch: pa.RecordBatch, lo: int, hi: int) -> list[str | None]:
 def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
     """By language: ``classes`` and ``words`` (shares, the last one that of all other words), ``hashes`` (sorted).
 
-    At most 1/LANGUAGE languages and one for each REFERENCE words reach the driver, with 1/COMMON words of each.
+    At most 1/LANGUAGE languages and one for each REFERENCE words reach the driver, with 2/COMMON words of each.
     """
     shared.small_batches(docs.sparkSession)
     texts = docs.select(F.col("lang").cast("string").alias("lang"), "text")
@@ -136,19 +136,22 @@ def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
                         words[name] += len(mine)
         for name, tally in tallies.items():
             keys, counts = tally.merge()
-            keys = keys[counts >= COMMON * words[name]]
+            often = counts >= COMMON / 2 * words[name]
+            n = int(often.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * (len(keys) + 1), pa.string()), pa.array(np.append(keys.view(np.int64), 0)), pa.array([0] * len(keys) + [words[name]], pa.int64())],
-                names=["lang", "hash", "words"],
+                [pa.array([name] * (n + 1), pa.string()), pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(counts[often], 0)), pa.array([0] * n + [words[name]], pa.int64())],
+                names=["lang", "hash", "n", "words"],
             )
 
-    found = shared.written(texts.mapInArrow(candidates, "lang string, hash long, words long"), "candidates")
+    found = shared.written(texts.mapInArrow(candidates, "lang string, hash long, n long, words long"), "candidates")
     total = found.agg(F.sum("words")).first()[0] or 0
-    big = [r[0] for r in found.groupBy("lang").agg(F.sum("words").alias("n")).filter((F.col("n") > 0) & (F.col("n") >= min(REFERENCE, total * LANGUAGE)) & F.col("lang").isNotNull()).collect()]
-    # one job for all languages
-    rows = found.filter((F.col("words") == 0) & F.col("lang").isNotNull()).groupBy("lang").agg(F.collect_set("hash").alias("hashes"))
-    wanted = docs.sparkSession.createDataFrame([(x,) for x in big], "lang string")
-    got = {r["lang"]: r["hashes"] for r in rows.join(F.broadcast(wanted), "lang").collect()}
+    sizes = found.groupBy("lang").agg(F.sum("words").alias("of")).filter((F.col("of") > 0) & (F.col("of") >= min(REFERENCE, total * LANGUAGE)) & F.col("lang").isNotNull())
+    big = [r["lang"] for r in sizes.collect()]
+    # tasks that left a word out had less than COMMON / 2 of it each, so half of a common word's count is here at least,
+    # and no more than 2 / COMMON words can have that much
+    sums = found.filter("words = 0").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
+    rows = sums.join(F.broadcast(sizes), "lang").filter(F.col("n") >= COMMON / 2 * F.col("of"))
+    got = {r["lang"]: r["hashes"] for r in rows.groupBy("lang").agg(F.collect_list("hash").alias("hashes")).collect()}
     likely = {x: np.sort(np.array(got.get(x, []), np.int64).view(np.uint64)) for x in big}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +260,64 @@ def keep(docs: DataFrame, refs: dict | None = None) -> DataFrame:
                 _, _, kept = verdicts(Measures(data, offsets), langs, refs)
                 yield batch.slice(lo, hi - lo).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    # mapInArrow can't look up columns of every name
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = measure(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The character classes but the last, which has the rest.
+_CLASSES = ("[aeiouy]", "[bcdfghjklmnpqrstvwxz]", "[A-Z]", "[0-9]", r"[ \t]", r"[\n\r\x0B\f]", "[.,;:!?]", r"[\x27\x22()\-\[\]]", r"[#*$%&|<>+/=@\\^_`{}~]", r"[\x{80}-\x{7FF}]", r"[\x{800}-\x{FFFF}]", r"[\x{10000}-\x{10FFFF}]")
+_PER_CLASS = ", ".join(f"len(regexp_extract_all(s, '{c}'))" for c in _CLASSES)
+
+
+def _half(p: str, q: str) -> str:
+    return f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END"
+
+
+OP4_SQL = f"""
+WITH d AS (
+  SELECT doc_id, lang, s, t, len(t) AS n_words, list_transform(string_split(s, chr(10)), lambda x: CASE WHEN regexp_matches(x, {_WORD}) THEN x END) AS lines
+  FROM (SELECT doc_id, lang, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), {_WORD}) AS t FROM documents)
+), win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(t[i:i + 4], ' ')) AS c FROM (SELECT doc_id, t, unnest(range(1, n_words - 3)) AS i FROM d WHERE n_words >= 5)
+), repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, range(5) r(k) WHERE c > 1 GROUP BY doc_id),
+m AS (
+  SELECT doc_id, lang, s, t, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(t, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(s, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(lines, lambda x: x IS NOT NULL)) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n, 0) > 20 * n_words AS base_failed
+  FROM d LEFT JOIN repeated USING (doc_id)
+), w AS (SELECT doc_id, lang, base_failed, n_words, unnest(regexp_extract_all(translate(s, '{_UPPER}', '{_LOWER}'), {_WORD})) AS word FROM m),
+c AS (SELECT doc_id, lang, base_failed, unnest(range(13)) AS k, unnest(list_append(x, length(s) - list_sum(x))) AS n FROM (SELECT *, [{_PER_CLASS}] AS x FROM m)),
+total AS (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS n_all FROM w WHERE NOT base_failed GROUP BY lang),
+big AS (SELECT lang, n FROM total WHERE lang IS NOT NULL AND n >= least({REFERENCE}, n_all * {LANGUAGE})),
+common AS (SELECT w.lang, word, count(*) / any_value(big.n) AS q FROM w JOIN big ON w.lang = big.lang WHERE NOT base_failed GROUP BY w.lang, word HAVING count(*) >= {COMMON} * any_value(big.n)),
+others AS (SELECT lang, 1 - coalesce(sum(q), 0) AS q FROM big LEFT JOIN common USING (lang) GROUP BY lang),
+classes AS (SELECT lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM c WHERE NOT base_failed GROUP BY lang, k),
+judged AS (SELECT m.doc_id, big.lang AS ref, m.n_words FROM m JOIN big ON m.lang = big.lang OR m.lang IS NULL WHERE m.n_words >= {MIN_WORDS}),
+by_word AS (
+  SELECT doc_id, ref, sum({_half("p", "q")} - q) AS found, sum(p) AS p
+  FROM (SELECT j.doc_id, ref, common.word, count(*) / any_value(j.n_words) AS p, any_value(q) AS q FROM judged j JOIN w USING (doc_id) JOIN common ON common.lang = ref AND common.word = w.word GROUP BY ALL)
+  GROUP BY ALL
+), far_words AS (
+  SELECT j.doc_id, ref, sqrt(greatest(0, (coalesce(found, 0) + 1 - o.q + {_half("(1 - coalesce(p, 0))", "o.q")}) / 2)) AS word_distance
+  FROM judged j JOIN others o ON o.lang = ref LEFT JOIN by_word USING (doc_id, ref)
+), far_chars AS (
+  SELECT doc_id, ref, sqrt(greatest(0, sum({_half("p", "q")}) / 2)) AS char_distance
+  FROM (SELECT j.doc_id, ref, c.k, n / sum(n) OVER (PARTITION BY j.doc_id, ref) AS p, q FROM judged j JOIN c USING (doc_id) JOIN classes ON classes.lang = ref AND classes.k = c.k) GROUP BY ALL
+), far AS (
+  SELECT doc_id, min_by(char_distance, char_distance + word_distance) AS char_distance, min_by(word_distance, char_distance + word_distance) AS word_distance
+  FROM far_words JOIN far_chars USING (doc_id, ref) GROUP BY doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(char_distance > {CHAR_BOUND} + 0.5 * sqrt(4 / n_words) OR word_distance > {WORD_BOUND} + sqrt(4 / n_words), false) AS kept,
+  round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+FROM m LEFT JOIN far USING (doc_id)
+"""

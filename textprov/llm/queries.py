@@ -17,6 +17,8 @@ QUERIES = {
     "op10_token_counts": token_counts.op10,
 }
 SQL = {
+    "op2_near_duplicates": minhash.OP2_SQL,
+    "op4_quality_rules": quality_rules.OP4_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
