@@ -1,23 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counting. Tasks hash the n-grams of training texts, pre-aggregate them and send sorted 48-bit keys, as
-gaps in blobs, to the part of the key space that the hash's high bits name; each part adds up its
-counts. A hot n-gram is one key a flush, so parts are alike in size and their number follows
-``spark.sql.shuffle.partitions``.
+Counting. Documents are cut into runs of about RUN bytes of text. A run hashes its n-grams once and sends
+the distinct ones, as gaps of sorted 48-bit keys in blobs, with the counts of those in training texts, to
+the part of the key space that the hash's high bits name; each part adds up the counts. A hot n-gram is one
+key a run, so parts are alike in size; there are as many as ``spark.sql.shuffle.partitions``, or one for
+each PART bytes of documents if that is more.
 
 Filter. A count c is quantised to level ``1 + floor(log_BASE c)``; an n-gram enters the filter once for
 each level up to its own, and a look-up probes levels until one is missing. Each part builds its own
 segment of BITS bits an item, so the filter grows with what was counted. It is neither broadcast nor
-gathered: documents are cut into runs of about RUN bytes of text, each run sends its distinct n-grams to
-the parts as a question, and the parts' levels go back through the shared folder to the task that scores
-the run. N-grams of every count enter, those seen once at level 1.
+gathered: what a run sent is its question too, and the parts' levels go back through the shared folder to
+the task that scores the run. N-grams of every count enter, those seen once at level 1.
 
-Documents are read twice, once to ask and once to score; where their plan has a shuffle they are written
-first, and a run that doesn't match its answer raises an error.
+Documents are read twice, once to count and ask and once to score; where they are no scan of files they are
+written first, and a run that doesn't match its answer raises an error.
 
 Score. Interpolation from order to order, ``p_n = w_n * c(ngram) / c(context) + (1 - w_n) * p_(n-1)``
 where the context was seen and p_(n-1) elsewhere, above ``p_1 = (c + 1) / (N + V + 1)``, with
-dequantised counts and no n-gram above its context. The base score uses exact counts: words of more than N / MAX_WORDS occurrences
+each level's mean count and no n-gram above its context: but for quantisation and false positives, a
+probability whose sum over what may follow is 1. The base score uses exact counts: words of more than N / MAX_WORDS occurrences
 (at most MAX_WORDS of them) are broadcast, others are joined by hash.
 
 Defined results: null and empty texts are one end token; a null id is in the training part; repeated
@@ -27,8 +28,8 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +37,25 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import shared, textscan
-from .token_store import place
+from .shared import place
 
 ORDER, BASE, BITS, PROBES = 3, 1.5, 10, 7
 #: Weight of the counts of each order from 2 on.
 WEIGHTS = (0.1, 0.3)
 MAX_WORDS = 4_000_000
-#: N-grams a task holds before it sends them.
+#: Words a task holds before it sends them, and n-grams that a part takes up before it merges them.
 FLUSH = 3_000_000
 #: Entries in a row of the table of counts.
 CHUNK = 1 << 18
 #: Bytes of text, and one a row, of the documents that ask and are scored at once.
 RUN = 8 << 20
+#: Bytes of documents for each part of the key space, at most.
+PART = 16 << 20
 
 END = np.uint64(0xA0761D6478BD642F)
 _P = np.uint64(0xE7037ED1A0B428DB)
@@ -141,9 +145,33 @@ def _check(keys: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(textscan.mix(keys + _P)).view(np.int64))
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte a count, and those from 255 on behind them."""
+    raw = np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    raw = pa.CompressedInputStream(pa.BufferReader(raw), "zstd").read()
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<u8", offset=n).astype(np.int64)
+    return counts
+
+
+def tally(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 48-bit keys, sorted, and how often each comes with a flag."""
+    both, n = np.unique(keys << np.uint64(1) | flags.astype(np.uint64), return_counts=True)
+    n[both & np.uint64(1) == 0] = 0
+    both >>= np.uint64(1)
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.empty(0, np.int64)
+    return both[at], np.add.reduceat(n, at) if len(at) else n
+
+
 SENT = "part int, kind int, task int, run int, check long, keys binary, counts binary"
 KEPT = "run int, part int, check long, keys binary, counts binary, levels binary, task int"
-NGRAMS, WORDS, QUESTION = range(3)
+NGRAMS, WORDS = range(2)
+#: Tasks of rows that answer no task: counts of words, and sums by level.
+OF_WORDS, OF_LEVELS = -1, -2
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -152,111 +180,99 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(zip(*rows), types)], names=names)
 
 
-def answers(docs: DataFrame, training: DataFrame, order: int = ORDER) -> tuple[DataFrame, str]:
-    """A table (KEPT) and its folder: counts of the words of ``training`` (task -1), and for each run of ``docs`` the levels of its n-grams.
+def answers(asking: list[DataFrame], order: int = ORDER, parts: int | None = None) -> tuple[DataFrame, str]:
+    """A table (KEPT) and its folder: counts of the words of training texts, sums of counts by level, and for each run of the
+    texts that ask the levels of its n-grams.
 
-    Questions have the distinct keys of a run; its levels, by part, are in their order.
+    ``asking``: rows of text, ask and train (boolean, one ``ask`` a table). A run sends its distinct keys once, with the counts
+    of those that come in training texts; its levels, by part, are in the keys' order.
     """
-    spark = docs.sparkSession
-    parts = shared.parts(spark)
-
-    def send(keys: np.ndarray, counts: np.ndarray | None, kind: int, task: int = -1, run: int = 0) -> Iterator[pa.RecordBatch]:
-        check = _check(keys) if kind == QUESTION else 0
-        bounds = np.searchsorted(_part(keys if kind != WORDS else keys >> _S16, parts), np.arange(parts + 1))
-        rows = []
-        for p in range(parts):
-            k = keys[bounds[p] : bounds[p + 1]]
-            if not len(k):
-                continue
-            if kind == QUESTION:
-                rows.append((p, kind, task, run, check, pack(k), None))
-                continue
-            c = counts[bounds[p] : bounds[p + 1]]
-            if kind == WORDS:
-                rows.append((p, kind, -1, 0, 0, k.astype("<u8").tobytes(), c.astype("<i8").tobytes()))
-                continue
-            for mine, some in ((c == 1, False), (c > 1, True)):
-                if mine.any():
-                    rows.append((p, kind, -1, 0, 0, pack(k[mine]), c[mine].astype("<i8").tobytes() if some else None))
-        if rows:
-            yield _rows(rows, SENT)
+    spark = asking[0].sparkSession
+    parts = parts or shared.parts(spark)
 
-    def ngrams(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        yield from send(*np.unique(np.concatenate(held) >> _S16, return_counts=True), NGRAMS)
+    def bounds(keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(_part(keys, parts), np.arange(parts + 1))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_keys, word_counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        held, n, words, n_words = [], 0, [], 0
-        for batch in batches:
-            for _, _, data, offsets in textscan.blocks(batch["text"]):
-                h, text = sequences(data, offsets)
-                words.append(h)
-                n_words += len(h)
-                for g in grams(h, text, order):
-                    held.append(g[g != 0])
-                    n += len(held[-1])
-                if n >= FLUSH:
-                    yield from ngrams(held)
-                    held, n = [], 0
-                if n_words >= FLUSH:
-                    k, c = np.unique(np.concatenate(words), return_counts=True)
-                    word_keys, word_counts = _merge(np.append(word_keys, k), np.append(word_counts, c))
-                    words, n_words = [], 0
-                if len(word_keys) > FLUSH:
-                    yield from send(word_keys, word_counts, WORDS)
-                    word_keys, word_counts = word_keys[:0], word_counts[:0]
-        if held:
-            yield from ngrams(held)
-        if words:
-            k, c = np.unique(np.concatenate(words), return_counts=True)
-            word_keys, word_counts = _merge(np.append(word_keys, k), np.append(word_counts, c))
-        if len(word_keys):
-            yield from send(word_keys, word_counts, WORDS)
+    def words(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        cut = bounds(keys >> _S16)
+        return _rows([(p, WORDS, -1, 0, 0, keys[cut[p] : cut[p + 1]].tobytes(), counts[cut[p] : cut[p + 1]].astype("<i8").tobytes()) for p in range(parts) if cut[p] < cut[p + 1]], SENT)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
+        word_keys, word_counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         for i, run in enumerate(runs(batches)):
-            h, _, longer = read(run, order)
-            yield from send(np.unique(np.concatenate([h, *longer]) >> _S16), None, QUESTION, task, i)
+            h, text, longer = read(run, order)
+            train = np.concatenate([b["train"].to_numpy(zero_copy_only=False) for b in run])[text]
+            asks = bool(run[0]["ask"][0].as_py())
+            keys, flags = [h >> _S16], [train]
+            for g in longer:
+                there = g != 0
+                keys.append(g[there] >> _S16)
+                flags.append(train[there])
+            keys, counts = tally(np.concatenate(keys), np.concatenate(flags))
+            check, cut = _check(keys), bounds(keys)
+            rows = []
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                k, c = keys[cut[p] : cut[p + 1]], counts[cut[p] : cut[p + 1]]
+                rows.append((p, NGRAMS, task if asks else -1, i, check, pack(k), pack_counts(c) if c.any() else None))
+            yield _rows(rows, SENT)
+            k, c = np.unique(h[train], return_counts=True)
+            word_keys, word_counts = _merge(np.append(word_keys, k), np.append(word_counts, c))
+            if len(word_keys) > FLUSH:
+                yield words(word_keys, word_counts)
+                word_keys, word_counts = word_keys[:0], word_counts[:0]
+        if len(word_keys):
+            yield words(word_keys, word_counts)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {NGRAMS: [], WORDS: []}
-        size, rows = {NGRAMS: 0, WORDS: 0}, {NGRAMS: 0, WORDS: 0}
-        asked, part = [], None
+        sent, part = [], None
+        held, size = [np.empty(0, np.uint64)], 0
+        word, n_words = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
         for batch in batches:
             for p, kind, task, run, check, keys, counts in zip(*(batch.column(i) for i in range(7))):
-                part, kind = p.as_py(), kind.as_py()
-                if kind == QUESTION:
-                    asked.append((task.as_py(), run.as_py(), check.as_py(), keys.as_py()))
+                part = p.as_py()
+                if kind.as_py() == WORDS:
+                    word.append((np.frombuffer(keys.as_buffer(), "<u8").astype(np.uint64), np.frombuffer(counts.as_buffer(), "<i8")))
+                    n_words += len(word[-1][0])
+                    if n_words > 2 * len(word[0][0]) + FLUSH:
+                        word = [_merge(*(np.concatenate(x) for x in zip(*word)))]
+                        n_words = len(word[0][0])
                     continue
-                k = np.frombuffer(keys.as_buffer(), "<u8").astype(np.uint64) if kind == WORDS else unpack(keys.as_py())
-                c = np.frombuffer(counts.as_buffer(), "<i8") if counts.is_valid else np.ones(len(k), np.int64)
-                held[kind].append((k, c))
-                rows[kind] += len(k)
-                if rows[kind] > 2 * size[kind] + FLUSH:
-                    held[kind] = [_merge(*(np.concatenate(x) for x in zip(*held[kind])))]
-                    rows[kind] = size[kind] = len(held[kind][0][0])
+                sent.append((task.as_py(), run.as_py(), check.as_py(), keys.as_py(), counts.as_py()))
+                held.append(unpack(sent[-1][3]))
+                size += len(held[-1])
+                if size > 2 * len(held[0]) + FLUSH:
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0])
         if part is None:
             return
-        none = (np.empty(0, np.uint64), np.empty(0, np.int64))
-        (k, c), (w, n) = (_merge(*(np.concatenate(x) for x in zip(*(held.pop(kind) or [none])))) for kind in (NGRAMS, WORDS))
+        w, n = _merge(*(np.concatenate(x) for x in zip(*word)))
         for i in range(0, len(w), CHUNK):
-            yield _rows([(0, part, 0, w[i : i + CHUNK].tobytes(), n[i : i + CHUNK].astype("<i8").tobytes(), None, -1)], KEPT)
-        if not asked:
-            return
-        segment = Filter.build(np.append(k, w >> _S16), np.append(c, n))
-        del k, c
-        keys = [unpack(raw) for *_, raw in asked]
-        unique, back = np.unique(np.concatenate(keys), return_inverse=True)
-        found = segment.level(unique).astype(np.uint8)[back]
-        ends = np.cumsum([len(x) for x in keys])
-        rows = [(run, part, check, None, None, pa.compress(x.tobytes(), codec="zstd", asbytes=True), task) for (task, run, check, _), x in zip(asked, np.split(found, ends[:-1]))]
-        for i in range(0, len(rows), 1024):
-            yield _rows(rows[i : i + 1024], KEPT)
-
-    # docs first, so that tasks have the numbers that they have when documents are scored
-    sent = docs.mapInArrow(ask, SENT).union(training.select("text").mapInArrow(gather, SENT))
-    out = sent.repartitionById(parts, "part").mapInArrow(answer, KEPT)
+            yield _rows([(0, part, 0, w[i : i + CHUNK].tobytes(), n[i : i + CHUNK].astype("<i8").tobytes(), None, OF_WORDS)], KEPT)
+        keys = np.unique(np.concatenate(held))
+        del held
+        counts = np.zeros(len(keys), np.int64)
+        for *_, raw, c in sent:
+            if c is not None:
+                k = unpack(raw)
+                counts[np.searchsorted(keys, k)] += unpack_counts(c, len(k))
+        there = counts > 0
+        sums = np.zeros((2, LEVELS + 1), np.int64)
+        top = levels(counts[there])
+        np.add.at(sums[0], top, counts[there])
+        np.add.at(sums[1], top, 1)
+        yield _rows([(0, part, 0, None, sums.astype("<i8").tobytes(), None, OF_LEVELS)], KEPT)
+        segment = Filter.build(keys[there], counts[there])
+        del counts, there, top
+        found = segment.level(keys).astype(np.uint8)
+        for task, run, check, raw, _ in sent:
+            if task >= 0:
+                mine = found[np.searchsorted(keys, unpack(raw))]
+                yield _rows([(run, part, check, None, None, pa.compress(mine.tobytes(), codec="zstd", asbytes=True), task)], KEPT)
+
+    # the tables that ask come first, so that tasks have the numbers that they have when documents are scored
+    out = reduce(DataFrame.union, [x.mapInArrow(send, SENT) for x in asking])
+    out = out.repartitionById(parts, "part").mapInArrow(answer, KEPT)
     folder = shared.new_folder(spark, "answers")
     to = F.when(F.col("task") < 0, F.col("part")).otherwise(F.col("task") % parts)
     out.repartitionById(parts, to).write.partitionBy("task").parquet(folder)
@@ -289,8 +305,43 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-#: The middle of the counts of each level; 0 for level 0.
-DEQUANTISED = np.append(0.0, np.maximum(1.0, [(BASE ** (q - 1.0) + BASE**q - 1) / 2 for q in range(1, 128)]))
+LEVELS = 127
+
+
+def level_means(counted: DataFrame) -> np.ndarray:
+    """The mean count of each level (0 for level 0), so that counts sum to what was counted; the middle where a level is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * (LEVELS + 1), np.int64)
+        for batch in batches:
+            for raw in batch["counts"]:
+                total += np.frombuffer(raw.as_buffer(), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["at", "n"])
+
+    rows = counted.filter(F.col("task") == OF_LEVELS).select("counts").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = np.zeros(2 * (LEVELS + 1))
+    for at, n in rows.collect():
+        sums[at] = n
+    total, items = sums.reshape(2, -1)
+    middle = np.append(0.0, np.maximum(1.0, [(BASE ** (q - 1.0) + BASE**q - 1) / 2 for q in range(1, LEVELS + 1)]))
+    return np.where(items > 0, total / np.maximum(items, 1), middle)
+
+
+def interpolate(level: np.ndarray, longer: list[np.ndarray], found: list[np.ndarray], means: np.ndarray, bottom: float, weights: tuple[float, ...]) -> np.ndarray:
+    """The probability of each token. ``level``: of its word; ``found``: of the n-grams ``longer`` that end there, 0 where there is none.
+
+    A context was counted as often as n-grams go on from it (a text's last token is its end, which nothing follows), so for
+    each order the shares of all that follow a context sum to 1, and with those of the order below weighed in they still do.
+    """
+    p = (means[level] + 1) / bottom
+    for g, its, w in zip(longer, found, weights):
+        # an n-gram that was counted has a context and an ending that were
+        before = np.append(0, level[:-1])
+        before[g == 0] = 0
+        level = np.where((before > 0) & (level > 0), np.minimum(its, before), 0)
+        seen = np.flatnonzero(before)
+        p[seen] = w * means[level[seen]] / means[before[seen]] + (1 - w) * p[seen]
+    return p
 
 
 class Filter:
@@ -353,20 +404,31 @@ def word_counts(counts: DataFrame) -> DataFrame:
                     [pa.array(np.frombuffer(keys.as_buffer(), "<i8")), pa.array(np.frombuffer(raw.as_buffer(), "<i8"))], names=["word", "n"]
                 )
 
-    return counts.filter("task = -1").select("keys", "counts").mapInArrow(run, "word long, n long")
+    return counts.filter(F.col("task") == OF_WORDS).select("keys", "counts").mapInArrow(run, "word long, n long")
 
 
-def score(docs: DataFrame, training: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_words: int = MAX_WORDS) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame | Column, weights: tuple[float, ...] = WEIGHTS, max_words: int = MAX_WORDS) -> DataFrame:
     """Score the texts of ``docs`` by a model of ``training``: all columns but text, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``docs`` shouldn't have columns of these names.
+    ``training``: a table with texts, or a condition that is true for the rows of ``docs`` to learn from, which reads them
+    once less. A column of ``docs`` that has the name of one of the results is left out.
     """
     spark, order = docs.sparkSession, len(weights) + 1
     shared.small_batches(spark)
-    if re.search("Exchange|Limit|TakeOrdered", docs._jdf.queryExecution().executedPlan().toString()):
-        docs = shared.written(docs, "docs")  # else rows may come in another order when read again
-    parts = shared.parts(spark)
-    counted, folder = answers(docs, training, order)
+    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    if isinstance(training, Column):
+        flag = shared.fresh(docs, "__train")
+        docs = docs.select("*", F.coalesce(training, F.lit(False)).alias(flag))
+    docs = shared.located(docs)[0]  # written unless it's a scan: rows may come in another order when read again
+    yes, no = F.lit(True), F.lit(False)
+    if isinstance(training, Column):
+        asking = [docs.select("text", yes.alias("ask"), F.col(flag).alias("train"))]
+        docs = docs.drop(flag)
+    else:
+        asking = [docs.select("text", yes.alias("ask"), no.alias("train")), training.select("text", no.alias("ask"), yes.alias("train"))]
+    parts = max(shared.parts(spark), -(-sum(map(shared.bytes_of, asking)) // PART))
+    counted, folder = answers(asking, order, parts)
+    means = level_means(counted)
     words = shared.written(word_counts(counted), "words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     bar = n // max_words if v > max_words else 0
@@ -375,7 +437,8 @@ def score(docs: DataFrame, training: DataFrame, weights: tuple[float, ...] = WEI
     by_key = np.argsort(keys)
     sent = spark.sparkContext.broadcast((keys[by_key], hot["n"].to_numpy()[by_key].astype(np.float64)))
     bottom = float(n + v + 1)
-    kept = [f for f in docs.schema if f.name != "text"]
+    texts = docs.columns.index("text")
+    kept = [(i, f) for i, f in enumerate(docs.schema) if f.name != "text" and f.name.lower() not in (*results, "rare")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = sent.value
@@ -393,37 +456,32 @@ def score(docs: DataFrame, training: DataFrame, weights: tuple[float, ...] = WEI
             n_known = np.add.reduceat(there[back].astype(np.int64), first[:-1])
             rare = ~there[back] if bar else np.zeros(len(h), bool)
             rare_words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(text[rare], minlength=n_rows))).astype(np.int32)), pa.array(h[rare].view(np.int64)))
-            asked, back = np.unique(np.concatenate([h, *longer]) >> _S16, return_inverse=True)
+            every = np.concatenate([h, *longer]) >> _S16
+            every[len(h) :][np.concatenate([g == 0 for g in longer] or [np.empty(0, bool)])] = every[0]  # where there is no n-gram
+            asked, back = np.unique(every, return_inverse=True)
             found = answered.levels(i, asked, parts)[back].reshape(order, len(h))
-            level = found[0]
-            p = (DEQUANTISED[level] + 1) / bottom
-            for g, its, w in zip(longer, found[1:], weights):
-                # an n-gram that was counted has a context and an ending that were
-                before = np.append(0, level[:-1])
-                before[g == 0] = 0
-                level = np.where((before > 0) & (level > 0), np.minimum(its, before), 0)
-                seen = np.flatnonzero(before)
-                p[seen] = w * DEQUANTISED[level[seen]] / DEQUANTISED[before[seen]] + (1 - w) * p[seen]
+            p = interpolate(found[0], longer, list(found[1:]), means, bottom, weights)
             scores = np.add.reduceat(np.log10(p), first[:-1])
             done = 0
             for batch in rows:
                 mine = slice(done, done + batch.num_rows)
-                columns = [batch[f.name] for f in kept] + [pa.array(x[mine]) for x in (size, n_known, base, scores)]
+                columns = [batch.column(i) for i, _ in kept] + [pa.array(x[mine]) for x in (size, n_known, base, scores)]
                 columns.append(rare_words.slice(done, batch.num_rows))
                 done += batch.num_rows
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["n_tokens", "n_known", "base_score", "score", "rare"])
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for _, f in kept] + ["n_tokens", "n_known", "base_score", "score", "rare"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    out = docs.mapInArrow(run, schema + "n_tokens long, n_known long, base_score double, score double, rare array<long>")
+    added = "n_tokens long, n_known long, base_score double, score double, rare array<long>"
+    out = docs.mapInArrow(run, StructType([f for _, f in kept] + _parse_datatype_string(added).fields))
     if bar:  # words that aren't broadcast: add their exact counts
-        out = shared.written(out.withColumn("__row", F.monotonically_increasing_id()), "scored")
-        seen = out.select("__row", F.explode("rare").alias("word")).groupBy("__row", "word").agg(F.count(F.lit(1)).alias("tf"))
-        more = seen.join(words.filter(F.col("n") <= bar), "word").groupBy("__row").agg(
-            F.sum("tf").alias("__known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("__more")
+        nr, known, more_score = (shared.fresh(out, x) for x in ("__nr", "__known", "__more"))
+        out = shared.written(out.withColumn(nr, F.monotonically_increasing_id()), "scored")
+        seen = out.select(nr, F.explode("rare").alias("word")).groupBy(nr, "word").agg(F.count(F.lit(1)).alias("tf"))
+        more = seen.join(words.filter(F.col("n") <= bar), "word").groupBy(nr).agg(
+            F.sum("tf").alias(known), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias(more_score)
         )
-        out = out.join(more, "__row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("__known", F.lit(0)))
-        out = out.withColumn("base_score", F.col("base_score") + F.coalesce("__more", F.lit(0.0)))
-    names = [F.col(f"`{f.name}`") for f in kept]
+        out = out.join(more, nr, "left").withColumn("n_known", F.col("n_known") + F.coalesce(known, F.lit(0)))
+        out = out.withColumn("base_score", F.col("base_score") + F.coalesce(more_score, F.lit(0.0)))
+    names = [F.col("`" + f.name.replace("`", "``") + "`") for _, f in kept]
     return out.select(*names, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -431,4 +489,4 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 7 == 2
     docs = docs.select("doc_id", held_out.alias("held_out"), "text")
-    return score(docs, docs.filter("NOT held_out"))
+    return score(docs, ~F.col("held_out"))
