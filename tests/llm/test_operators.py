@@ -87,6 +87,20 @@ def test_chat(spark):
     events = [(1, 0, 0, "user", "hi", None), (1, 1, 1, "assistant", "a", "delta"), (1, 1, 2, "assistant", "b", "delta"), (1, 1, 3, "assistant", "", "regenerate"), (1, 1, 4, "assistant", "c", "delta"), (1, 2, 5, "user", "x", None), (1, 2, 6, "user", "y", "edit")]
     folded = chat.fold(spark.createDataFrame(events, "conv_id long, turn long, seq long, role string, text string, kind string"))
     assert [(r.turn, r.text) for r in folded.orderBy("turn").collect()] == [(0, "hi"), (1, "c"), (2, "y")]
+    # a regeneration drops what was said in later turns up to then; an earlier message can be edited any time; a deleted one goes
+    log = [
+        (1, 0, 0, "user", "q", None), (1, 1, 1, "assistant", "bad ", "delta"), (1, 1, 2, "assistant", "answer", "delta"), (1, 2, 3, "user", "why?", None),
+        (1, 3, 4, "assistant", "because", "delta"), (1, 1, 5, "assistant", "", "regenerate"), (1, 1, 6, "assistant", "good", "delta"), (1, 0, 7, "user", "Q", "edit"),
+        (1, 2, 8, "user", "thanks", None), (1, 3, 9, "assistant", "", "delete"), (2, 2, 3, "user", "other", None), (None, 0, 1, None, None, None),
+    ]
+    schema = "conv_id long, turn long, seq long, role string, text string, kind string"
+    got = chat.fold(spark.createDataFrame(log, schema).repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, "user", "Q"), (1, 1, "assistant", "good"), (1, 2, "user", "thanks"), (2, 2, "user", "other"), (None, 0, "", "")], key=str)
+    assert chat.fold(spark.createDataFrame([], schema)).count() == 0
+    # messages to events and back: repeated rows, nulls, long texts
+    said = [(1, 0, "user", "x" * 1000), (1, 1, "assistant", "é\n" * 700), (1, 1, "assistant", "é\n" * 700), (None, None, None, None), (2, None, "assistant", "")]
+    back = chat.fold(chat.events(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted(map(tuple, back), key=str) == sorted([(a, b, c or "", d or "") for a, b, c, d in said], key=str)
     folder = shared.new_folder(spark, "test-chat")
     chat.write(folded, folder)
     row = chat.read_back(spark, folder).first()
@@ -100,10 +114,9 @@ def test_importance(spark, docs):
 
 
 def test_mixing(docs):
-    assert mixing.fill(10, [(1, 2), (1, 100), (2, 100)]) == pytest.approx([2, 8 / 3, 16 / 3])
-    rows = mixing.shares(docs).collect()
+    rows = mixing.shares(docs, path("byte_bpe_50k.json")).collect()
     assert len(rows) == len(ROWS) and sum(r.n_tokens * r.copies for r in rows) <= 0.8 * sum(r.n_tokens for r in rows) + 1
-    assert mixing.mix(docs).columns == docs.columns
+    assert mixing.mix(docs, path("byte_bpe_50k.json")).columns == docs.columns
 
 
 def test_blocks():
