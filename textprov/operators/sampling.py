@@ -5,9 +5,11 @@ Order is by md5 of 'seed:doc_id', which any engine can repeat.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def order_key(seed: int, key: str = "doc_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -20,8 +22,7 @@ def stratified_sample(df: DataFrame, n: int, by: str = "label", seed: int = 42,
         short = df.groupBy(by).count().filter(F.col("count") < n).limit(1).collect()
         if short:
             raise ValueError(f"stratum {short[0][0]!r} has {short[0][1]} rows, {n} are wanted")
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(order_key(seed), "doc_id"))
-    return df.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+    return tables.first_in_groups(df, [by], order_key(seed), ["doc_id"], F.lit(n), "__in").filter("__in").drop("__in")
 
 
 def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -31,9 +32,12 @@ def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 def stratified_split(df: DataFrame, by: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """``df`` with is_test: round(share * n) rows of each stratum."""
-    w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(order_key(seed), "doc_id"))
-    return df.withColumn("is_test", rank <= F.floor(F.lit(test_share) * F.count(F.lit(1)).over(w) + 0.5))
+    return tables.first_in_groups(df, by, order_key(seed), ["doc_id"], F.floor(F.lit(test_share) * F.col("size") + 0.5), "is_test")
+
+
+def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
+    """All rows in a seeded order, by ranges of it."""
+    return df.orderBy(order_key(seed), "doc_id")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -45,9 +49,9 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def distinct_texts(df: DataFrame, keys: list[str], order: str = "doc_id") -> DataFrame:
-    """Of rows equal in ``keys`` the one of lowest ``order``; partial aggregation keeps a hot text cheap."""
-    whole = F.min_by(F.struct(*df.columns), order).alias("r")
-    return df.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(whole).select("r.*")
+    """Of rows equal in ``keys`` the one of lowest ``order``; keys are digests, and partial aggregation keeps a hot text cheap."""
+    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    return df.groupBy(digest.alias("__digest")).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
 
 
 def unpivot_pairs(df: DataFrame, human: str = "human", ai: str = "ai") -> DataFrame:
