@@ -8,6 +8,7 @@ start of the text only. ``strict_words`` leaves those two damaging steps out.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,16 +79,43 @@ STEPS: list[tuple[str, str]] = [
 ]
 
 
+#: By a piece of a pattern, strings of which one must be in a text for the pattern to match.
+_NEEDS: list[tuple[str, tuple[str, ...]]] = [
+    (_COLON_HEADS, (":",)), ("â€", ("â€",)), ("#39;?", ("#39",)), ("quot;?", ("quot",)), ("&", ("&",)), ("<", ("<",)), (r"\n\s*", ("\n",)),
+    (r"\([A-Z]{2,}\)", ("(",)), (rf"\({_MORE_WIRES}\)", ("(",)), (rf"\b{_WIRES}", ("UPI", "Reuters", "AFP", "AP")), (rf"\b{_MORE_WIRES}", ("Bloomberg", "UPI", "Reuters", "AFP", "AP")),
+    ("\n", ("\n",)), (r"\n", ("\n",)), (r"\[\d+", ("[",)), (r"\d+\]", ("]",)), ("—", ("—",)), (_STATES, (",",)), (r"\b(?:INTRODUCTION", ("INTRODUCTION", "ABSTRACT", "DISCUSSION", "OBJECTIVE", "BACKGROUND", "CONCLUSION", "METHOD", "RESULT")),
+    (_WIKI, ("\n",)), ("Description", ("\n",)), (r"\s+at\s+", (":",)), (_ZONES, ("ST", "DT", "GMT", "UTC")), ("This ", ("This ",)), ("  +", ("  ",)), (" \n", (" \n",)),
+]
+
+
+def _needs(pattern: str) -> tuple[str, ...]:
+    """Patterns for the start of a text are quick by themselves."""
+    return () if pattern[0] == "^" else next((strings for piece, strings in _NEEDS if piece in pattern), ())
+
+
+def _replaced(c: Column, strings: tuple[str, ...], steps: list[tuple[str, str]]) -> Column:
+    """``steps`` one after the other, where one of ``strings`` is in the text; a variable, so that it is worked out once."""
+
+    def run(x: Column) -> Column:
+        return reduce(lambda y, step: F.regexp_replace(y, "(?U)" + step[0], step[1]), steps, x)
+
+    if not strings:
+        return run(c)
+    there = lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(s)) for s in strings))
+    return F.transform(F.array(c), lambda x: F.when(there(x), run(x)).otherwise(x))[0]
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
 def clean(c: Column, strict_words: bool = False) -> Column:
-    """The chain, then white space, quotes and white space again off both ends."""
+    """The chain, then white space, quotes and white space again off both ends. Steps that a text lacks a string for are passed over."""
     steps = [(p, r) for p, r in STEPS if not (strict_words and p in LOSSY)]
-    out = reduce(lambda x, step: F.regexp_replace(x, "(?U)" + step[0], step[1]), steps, c)
-    return strip(F.btrim(strip(out), F.lit("'\"")))
+    for strings, some in groupby(steps, lambda step: _needs(step[0])):
+        c = _replaced(c, strings, list(some))
+    return strip(F.btrim(strip(c), F.lit("'\"")))
 
 
 def clean_rows(df: DataFrame, column: str = "text", strict_words: bool = False) -> DataFrame:
