@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def confusion(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """tp, fp, tn, fn of columns label and predicted."""
@@ -34,11 +36,11 @@ def metrics(confused: DataFrame) -> DataFrame:
 
 
 def thresholds(df: DataFrame) -> DataFrame:
-    """For each distinct p: tp and fp of predicting 1 from it on, and the totals."""
+    """For each distinct p: n1 and n0 rows by label, tp and fp of predicting 1 from it on, and the totals; sums run by ranges of p."""
     by = df.groupBy("p").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
-    # one row a distinct score; round scores first where there are very many
-    down, whole = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return by.select("p", F.sum("n1").over(down).alias("tp"), F.sum("n0").over(down).alias("fp"), F.sum("n1").over(whole).alias("pos"), F.sum("n0").over(whole).alias("neg"))
+    curve = tables.ranged(by, F.desc("p"), {"tp": F.col("n1"), "fp": F.col("n0")}, "curve")
+    whole = df.agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    return curve.crossJoin(F.broadcast(whole))  # one row
 
 
 def best_f1(curve: DataFrame) -> DataFrame:
@@ -52,9 +54,20 @@ def youden(curve: DataFrame) -> DataFrame:
 
 
 def roc_auc(curve: DataFrame) -> DataFrame:
-    w = Window.orderBy(F.desc("p"))
-    area = (F.col("fp") - F.lag("fp", 1, 0).over(w)) * (F.col("tp") + F.lag("tp", 1, 0).over(w)) / 2
-    return curve.select(area.alias("a"), "pos", "neg").agg((F.sum("a") / (F.max("pos") * F.max("neg"))).alias("auc"))
+    """Area by trapezoids; the point before a threshold lacks its own rows."""
+    area = F.col("n0") * (2 * F.col("tp") - F.col("n1")) / 2
+    return curve.agg((F.sum(area) / (F.max("pos") * F.max("neg"))).alias("auc"))
+
+
+def det(curve: DataFrame) -> DataFrame:
+    """Detection error trade-off: p, fpr and fnr of predicting 1 from p on."""
+    return curve.select("p", (F.col("fp") / F.col("neg")).alias("fpr"), (1 - F.col("tp") / F.col("pos")).alias("fnr"))
+
+
+def majority(df: DataFrame) -> DataFrame:
+    """The constant prediction of the commoner label (0 on ties), and its confusion."""
+    label = df.agg((F.sum("label") * 2 > F.count(F.lit(1))).cast("int").alias("predicted"))
+    return confusion(df.drop("predicted").crossJoin(F.broadcast(label)))
 
 
 def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
@@ -82,10 +95,80 @@ def per_source(df: DataFrame) -> DataFrame:
     return out.withColumn("error_rate", 1 - F.col("accuracy")).withColumn("outlier", odd)
 
 
+def uncertainty(df: DataFrame, threshold: float) -> DataFrame:
+    """Rows and mean distance of p from the threshold, by whether the prediction (p above it) is right."""
+    right = ((F.col("p") > threshold).cast("int") == F.col("label")).alias("correct")
+    return df.select(right, F.abs(F.col("p") - threshold).alias("d")).groupBy("correct").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_distance"), F.max("d").alias("max_distance"))
+
+
+def lowest_sources(df: DataFrame, n: int = 15) -> DataFrame:
+    """The ``n`` sources of lowest mean p, with mean and median."""
+    by = df.groupBy("source").agg(F.avg("p").alias("mean_p"), F.percentile("p", F.lit(0.5)).alias("median_p"))
+    return by.orderBy(F.round("mean_p", 9), "source").limit(n)
+
+
+def largest_confusions(df: DataFrame, n: int = 12) -> DataFrame:
+    """Shares of tn, fp, fn, tp of the ``n`` largest sources."""
+    shares = confusion(df, ["source"]).withColumn("n", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    top = shares.orderBy(F.desc("n"), "source").limit(n)
+    return top.select("source", "n", *((F.col(c) / F.col("n")).alias(c) for c in ("tn", "fp", "fn", "tp")))
+
+
+def error_colours(sources: DataFrame, n: int = 15) -> DataFrame:
+    """The ``n`` sources of highest error rate (``per_source``) with the colour of their bar."""
+    colour = F.when(F.col("error_rate") > 0.1, "red").when(F.col("error_rate") > 0.05, "orange").otherwise("green")
+    return sources.orderBy(F.desc(F.round("error_rate", 6)), "source").limit(n).select("source", "error_rate", colour.alias("colour"))
+
+
+def hardest_and_easiest(sources: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` sources of lowest and of highest accuracy (``per_source``); a source may be among both."""
+    rows = sources.select("source", "n", "accuracy", "mean_p")
+    low = rows.orderBy(F.round("accuracy", 9), "source").limit(n).withColumn("side", F.lit("hardest"))
+    return low.unionByName(rows.orderBy(F.desc(F.round("accuracy", 9)), F.desc("source")).limit(n).withColumn("side", F.lit("easiest")))
+
+
+def position_stats(df: DataFrame, positions: tuple[str, ...] = ("p_start", "p_middle", "p_end"), threshold: float = 0.5) -> DataFrame:
+    """position, label, mean, std (of the whole) and accuracy of the probabilities of parts of documents."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c.removeprefix("p_")).alias("position"), F.col(c).alias("p")) for c in positions)))
+    rows = df.select("label", pairs.alias("x")).select("label", "x.*")
+    right = ((F.col("p") > threshold).cast("int") == F.col("label")).cast("double")
+    return rows.groupBy("position", "label").agg(F.avg("p").alias("mean_p"), F.stddev_pop("p").alias("std_p"), F.avg(right).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def start_end(df: DataFrame, x: str = "p_start", y: str = "p_end") -> DataFrame:
+    """Correlation, line of best fit, and the line across it through the means (slope 0 where the fit is level)."""
+    one = df.agg(F.corr(x, y).alias("corr"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"))
+    across = F.when(F.col("slope") != 0, -1 / F.col("slope")).otherwise(0.0)
+    return one.withColumn("across_slope", across).withColumn("across_intercept", F.col("mean_y") - F.col("across_slope") * F.col("mean_x"))
+
+
+def position_variance(df: DataFrame, positions: tuple[str, ...] = ("p_start", "p_middle", "p_end"), threshold: float = 0.5) -> DataFrame:
+    """Mean over documents of the variance of p over positions, by whether the middle part is judged right."""
+    k = len(positions)
+    mean = sum((F.col(c) for c in positions), F.lit(0.0)) / k
+    var = sum(((F.col(c) - mean) * (F.col(c) - mean) for c in positions), F.lit(0.0)) / k
+    right = ((F.col(positions[1]) > threshold).cast("int") == F.col("label")).alias("correct")
+    return df.select(right, var.alias("v")).groupBy("correct").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_variance"), F.max("v").alias("max_variance"))
+
+
+def top_features(coefficients: DataFrame, vocab: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` features of highest and of lowest coefficient, with their n-grams; ties by feature."""
+    high = coefficients.orderBy(F.desc("coef"), "feature").limit(n).withColumn("side", F.lit("ai"))
+    low = coefficients.orderBy("coef", "feature").limit(n).withColumn("side", F.lit("human"))
+    return high.unionByName(low).join(vocab.select("feature", "ngram"), "feature").select("side", "feature", "ngram", "coef")
+
+
 def token_counts(tokens: DataFrame) -> DataFrame:
-    """label, token, n and rank by frequency within the label."""
+    """label, token, n and rank by frequency within the label; numbered by ranges over all labels."""
     by = tokens.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
-    return by.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "token")))
+    rows = tables.ranged(by, F.struct("label", (-F.col("n")).alias("m"), "token"), {"at": F.lit(1)}, "tokens")
+    first = rows.groupBy("label").agg(F.min("at").alias("first"))  # a row a label
+    return rows.join(F.broadcast(first), "label").select("label", "token", "n", (F.col("at") - F.col("first") + 1).cast("int").alias("rank"))
+
+
+def vocabulary_sizes(tokens: DataFrame) -> DataFrame:
+    """label and its number of different tokens; copies are dropped before they are counted."""
+    return tokens.select("label", "token").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("vocabulary"))
 
 
 def kl_divergence(tokens: DataFrame, eps: float = 1e-10) -> DataFrame:
