@@ -1 +1 @@
-"""sources of the engine."""
+"""Where texts and artifacts come from and go to."""
