@@ -1 +1 @@
-"""streaming of the engine."""
+"""Scoring of streams."""
