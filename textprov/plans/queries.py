@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..functions.text import STEPS, clean_rows
-from ..operators import classify, evaluate, sampling
+from ..operators import classify, curate, evaluate, reduction, sampling, score, tables, train
 from ..operators import vectorizer as V
+from ..sources import texts
 
 PARAMS = V.Params((2, 3, 4), 10, 0.8, True)
 THRESHOLD = 0.5
@@ -32,11 +33,9 @@ def labelled(spark, d) -> DataFrame:
 
 
 def tfidf(spark, d, params: V.Params = PARAMS) -> tuple[DataFrame, DataFrame]:
-    rows = docs(spark, d)
-    n = rows.count()
-    tf = V.counts(rows, params.sizes)
-    vocab = V.vocabulary(tf, n, params)
-    return vocab, V.values(tf, vocab, params)
+    made = V.Vectorizer(params, "words")
+    values = made.fit_transform(docs(spark, d))
+    return made.vocab, values
 
 
 def tfidf_values(spark, d):
@@ -67,7 +66,7 @@ def zero_feature_docs(spark, d):
 
 def nb_model(spark, d):
     vocab, values = tfidf(spark, d)
-    values = values.select("doc_id", "feature", "value")
+    values = tables.written(values.select("doc_id", "feature", "value"), "values")
     return values, classify.naive_bayes(values, labelled(spark, d), vocab)
 
 
@@ -110,9 +109,9 @@ def position_chunks(spark, d):
 
 
 def assistant_turns(spark, d):
-    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    only = F.filter("turns", lambda x: x.role == "assistant")
-    return rows.select("conv_id", F.explode(only).alias("t")).select("conv_id", "t.turn", "t.text", F.lit(1).alias("label"))
+    # the table is flat already: gathering turns only to explode them would shuffle whole conversations
+    rows = read(spark, d, "conversations").filter("role = 'assistant'")
+    return rows.select("conv_id", "turn", "text", F.lit(1).alias("label"))
 
 
 def split_counts(spark, d):
@@ -152,8 +151,123 @@ def bpe_tokens(spark, d):
     return docs(spark, d).select("doc_id", encode("text").alias("tokens"))
 
 
+#: Scores of parts of documents that any engine repeats.
+def positions(spark, d) -> DataFrame:
+    def p(name: str) -> F.Column:
+        x = F.conv(F.substring(F.md5(F.concat(F.lit(f"{name}:"), F.col("doc_id").cast("string"))), 1, 4), 16, 10).cast("double") / 65536
+        return F.round((x + F.col("label")) / 2, 3).alias(f"p_{name}")
+
+    return labelled(spark, d).select("doc_id", "label", *(p(x) for x in ("start", "middle", "end")))
+
+
+def coefficients(vocab: DataFrame) -> DataFrame:
+    return vocab.select("feature", (F.pmod(F.col("feature") * 7919, F.lit(1000)) / 500.0 - 1).alias("coef"))
+
+
+def linear_score(spark, d):
+    vocab, values = tfidf(spark, d)
+    return classify.linear_scores(docs(spark, d), values, coefficients(vocab), 0.25).select("doc_id", r6("p").alias("p"))
+
+
+def soft_vote(spark, d):
+    rows = scored(spark, d).join(positions(spark, d).drop("label"), "doc_id")
+    p = classify.soft_vote({"p": 0.25, "p_start": 0.3, "p_middle": 0.3, "p_end": 0.15})
+    return rows.select("doc_id", r6(p).alias("p"), classify.classification(r6(p), THRESHOLD).alias("classification"))
+
+
+def top_features(spark, d):
+    vocab, _ = tfidf(spark, d)
+    return evaluate.top_features(coefficients(vocab), vocab).select("side", "feature", F.array_join("ngram", " ").alias("ngram"), r6("coef").alias("coef"))
+
+
+def sparsity(spark, d):
+    vocab, values = tfidf(spark, d)
+    return _rounded(V.sparsity(values, docs(spark, d).count(), vocab.count()))
+
+
+def output_formats(spark, d):
+    p = F.col("p")
+    return scored(spark, d).select("doc_id", *(score.formatted(p, how, THRESHOLD).alias(how.replace("-", "_")) for how in ("class", "class-id", "probability", "human")), score.shown(p).alias("shown"))
+
+
+def expansion(spark, d):
+    """Chunks a document, of the chunked corpus with its own columns."""
+    parts = T.chunks(T.words(F.col("text")), 300, 50)
+    rows = read(spark, d, "documents").select(F.coalesce("source", F.lit("unknown")).alias("dataset"), F.size(parts).alias("n"))
+    return _rounded(rows.groupBy("dataset").agg(F.sum("n").alias("chunks"), F.count(F.lit(1)).alias("docs"), F.avg("n").alias("ratio")))
+
+
+def answers_of_two(spark, d):
+    """Two conversations a row, as an arena stores them: unpivoted, filtered and exploded."""
+    rows = read(spark, d, "conversations").select("conv_id", F.array(F.struct("role", F.col("text").alias("content"))).alias("conversation_a"))
+    rows = rows.withColumn("conversation_b", F.transform("conversation_a", lambda m: F.struct(m["role"].alias("role"), F.concat(m["content"], F.lit("!")).alias("content"))))
+    return curate.arena(rows, "x/arena").groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def quotas(spark, d):
+    """A corpus by quotas: all of one source, samples of others."""
+    rows = labelled(spark, d).select("doc_id", "text", "label", "source")
+    parts = {n: rows.filter(F.col("source") == n).drop("source") for n in ("src0", "src1", "src2")}
+    out = curate.by_quotas(parts, [("src0", "all", None), ("src1", "sample", 5), ("src2", "sample", 3)])
+    return out.select("doc_id", "label", "dataset")
+
+
+def vote_p(spark, d) -> score.Predictor:
+    """The four models fitted on labelled documents."""
+    made = V.Vectorizer(V.Params((1, 2), 10, 0.8, True), "words")
+    rows = labelled(spark, d)
+    values = tables.written(made.fit_transform(rows.select("doc_id", "text")).select("doc_id", "feature", "value"), "values")
+    return score.Predictor(made, train.ensemble(values, rows.select("doc_id", "label"), made.vocab)).prepare(spark)
+
+
+def ensemble_score(spark, d):
+    """Documents scored by the vote of models that are trained on the labelled ones."""
+    return vote_p(spark, d).classify(docs(spark, d)).select("doc_id", r6("p_ai").alias("p_ai"), "classification")
+
+
+def svd_variance(spark, d):
+    made = V.Vectorizer(V.Params((1, 2), 10, 0.8, True), "words")
+    values = made.fit_transform(docs(spark, d))
+    rows = values.groupBy("doc_id").agg(F.collect_list("feature").alias("at"), F.collect_list("value").alias("values"))
+    one, _, shares = reduction.svd(tables.written(rows, "rows"), made.num_features, 20)
+    return spark.createDataFrame([(i, round(float(s), 4), round(float(v), 5)) for i, (s, v) in enumerate(zip(one, shares))], "component int, singular_value double, variance double")
+
+
+def points(spark, d) -> DataFrame:
+    """Two coordinates of each vector, with labels 0 and 1."""
+    rows = read(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.col("label"))
+    return rows.select("vec_id", "x", "y", F.concat(F.lit("s"), F.pmod("label", F.lit(7)).cast("string")).alias("source"), F.pmod("label", F.lit(2)).cast("int").alias("label"))
+
+
 _C = evaluate
 QUERIES = {
+    "linear_score": linear_score,
+    "soft_vote": soft_vote,
+    "top_features": top_features,
+    "sparsity": sparsity,
+    "output_formats": output_formats,
+    "chunk_expansion": expansion,
+    "arena_answers": answers_of_two,
+    "curated_by_quotas": quotas,
+    "ensemble_score": ensemble_score,
+    "svd_variance": svd_variance,
+    "balanced_weights": lambda s, d: _rounded(classify.balanced_weights(labelled(s, d))),
+    "det_curve": lambda s, d: _rounded(_C.det(_C.thresholds(scored(s, d)))),
+    "majority_confusion": lambda s, d: _C.majority(scored(s, d)),
+    "uncertainty_split": lambda s, d: _rounded(_C.uncertainty(scored(s, d), THRESHOLD)),
+    "lowest_sources": lambda s, d: _rounded(_C.lowest_sources(scored(s, d))),
+    "largest_confusions": lambda s, d: _rounded(_C.largest_confusions(scored(s, d))),
+    "error_colours": lambda s, d: _rounded(_C.error_colours(_C.per_source(scored(s, d)))),
+    "hardest_and_easiest": lambda s, d: _rounded(_C.hardest_and_easiest(_C.per_source(scored(s, d)))),
+    "position_stats": lambda s, d: _rounded(_C.position_stats(positions(s, d))),
+    "start_end_fit": lambda s, d: _rounded(_C.start_end(positions(s, d))),
+    "position_variance": lambda s, d: _rounded(_C.position_variance(positions(s, d))),
+    "vocabulary_sizes": lambda s, d: _C.vocabulary_sizes(tokens_by_label(s, d)),
+    "stripped": lambda s, d: texts.strip_strings(read(s, d, "documents").select("doc_id", F.concat(F.lit(" \n\t"), "text", F.lit("\u00a0 ")).alias("text"), "lang")),
+    "labels_cast": lambda s, d: curate.cast_label(labelled(s, d)).select("doc_id", F.col("label").cast("int").alias("label")),
+    "centroids": lambda s, d: _rounded(reduction.centroids(points(s, d))),
+    "centroid_separation": lambda s, d: _rounded(reduction.separation(points(s, d))),
+    "density_grid": lambda s, d: reduction.densities(points(s, d), 20).select("label", "i", "j", F.round("density", 4).alias("density")),
     "tfidf_values": tfidf_values,
     "tfidf_raw": tfidf_raw,
     "vocabulary_indexed": vocabulary_indexed,
@@ -240,7 +354,56 @@ def _quoted(x: str) -> str:
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _DIRTY = "'[' || doc_id || '] ' || text || ' (AP) - RESULTS: end&amp;gone <b>x</b>  y'"
 
+def _p(name: str) -> str:
+    return f"round((('0x' || md5('{name}:' || doc_id)[1:4])::INT / 65536.0::DOUBLE + label) / 2, 3)"
+
+
+_POSITIONS = f"positions AS (SELECT doc_id, label, {_p('start')} AS p_start, {_p('middle')} AS p_middle, {_p('end')} AS p_end FROM ({_LABELLED}))"
+_VOTE = "round(p * 0.25 + p_start * 0.3 + p_middle * 0.3 + p_end * 0.15, 6)"
+_COEF = "(feature * 7919 % 1000) / 500.0::DOUBLE - 1"
+_CHUNKS = "CASE WHEN n <= 300 THEN 1 ELSE CAST(ceil((n - 300) / 250.0) AS BIGINT) + 1 END"
+_POINTS = "points AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, 's' || (label % 7) AS source, label % 2 AS label FROM embeddings)"
 SQL = {
+    "linear_score": f"""{_tfidf(PARAMS)}, m AS (SELECT doc_id, sum(value * ({_COEF})) AS m FROM v GROUP BY doc_id)
+SELECT doc_id, round(1 / (1 + exp(-(coalesce(m, 0) + 0.25))), 6) AS p FROM documents LEFT JOIN m USING (doc_id)""",
+    "soft_vote": f"WITH {_SCORED}, {_POSITIONS} SELECT doc_id, {_VOTE} AS p, CASE WHEN {_VOTE} >= {THRESHOLD} THEN 'AI' ELSE 'Human' END AS classification FROM scored JOIN positions USING (doc_id)",
+    "top_features": f"""{_tfidf(PARAMS)}, c AS (SELECT CAST(feature AS INT) AS feature, array_to_string(ngram, ' ') AS ngram, {_COEF} AS c FROM vocab)
+(SELECT 'ai' AS side, feature, ngram, round(c, 6) AS coef FROM c ORDER BY c.c DESC, feature LIMIT 20) UNION ALL (SELECT 'human', feature, ngram, round(c, 6) FROM c ORDER BY c.c, feature LIMIT 20)""",
+    "sparsity": f"""{_tfidf(PARAMS)} SELECT (SELECT count(*) FROM documents) AS n_rows, (SELECT count(*) FROM vocab) AS n_columns, count(*) AS n_values,
+round(100 * (1 - count(*) / ((SELECT count(*) FROM documents)::DOUBLE * (SELECT count(*) FROM vocab))), 6) AS sparsity FROM v""",
+    "output_formats": f"""WITH {_SCORED}, k AS (SELECT *, CASE WHEN p >= {THRESHOLD} THEN 'AI' ELSE 'Human' END AS c FROM scored)
+SELECT doc_id, c AS class, CAST(predicted AS VARCHAR) AS class_id, printf('%.4f', p) AS probability,
+'Result: ' || CASE WHEN predicted = 1 THEN 'ai' ELSE 'human' END || chr(10) || 'Confidence: ' || printf('%.1f', 100 * CASE WHEN predicted = 1 THEN p ELSE 1 - p END) || '%' AS human,
+'P(Human)=' || printf('%.3f', 1 - p) || ', P(AI)=' || printf('%.3f', p) AS shown FROM k""",
+    "chunk_expansion": f"""SELECT dataset, CAST(sum(k) AS BIGINT) AS chunks, count(*) AS docs, round(avg(k), 6) AS ratio
+FROM (SELECT coalesce(source, 'unknown') AS dataset, {_CHUNKS} AS k FROM (SELECT source, len({_W}) AS n FROM documents)) GROUP BY dataset""",
+    "arena_answers": "SELECT 'x/arena' AS dataset, CAST(1 AS TINYINT) AS label, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT text AS t FROM conversations WHERE role = 'assistant' UNION ALL SELECT text || '!' FROM conversations WHERE role = 'assistant')",
+    "curated_by_quotas": f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS r FROM ({_LABELLED}))
+SELECT doc_id, label, source AS dataset FROM l WHERE source = 'src0' OR source = 'src1' AND r <= 5 OR source = 'src2' AND r <= 3 QUALIFY row_number() OVER (PARTITION BY text, label ORDER BY source, doc_id) = 1""",
+    "balanced_weights": f"SELECT label, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM ({_LABELLED}) GROUP BY label",
+    "det_curve": f"WITH {_CURVE} SELECT p, round(fp / neg, 6) AS fpr, round(1 - tp / pos, 6) AS fnr FROM curve",
+    "majority_confusion": f"WITH {_SCORED}, m AS (SELECT CAST(sum(label) * 2 > count(*) AS INT) AS m FROM scored), g AS (SELECT label, m AS predicted FROM scored, m) SELECT {_CONF} FROM g",
+    "uncertainty_split": f"""WITH {_SCORED} SELECT (p > {THRESHOLD})::INT = label AS correct, count(*) AS n, round(avg(abs(p - {THRESHOLD})), 6) AS mean_distance, round(max(abs(p - {THRESHOLD})), 6) AS max_distance FROM scored GROUP BY 1""",
+    "lowest_sources": f"WITH {_SCORED} SELECT source, round(avg(p), 6) AS mean_p, round(median(p), 6) AS median_p FROM scored GROUP BY source ORDER BY round(avg(p), 9), source LIMIT 15",
+    "largest_confusions": f"""WITH {_SCORED}, c AS (SELECT source, count(*) AS n, {_CONF} FROM scored GROUP BY source)
+SELECT source, n, round(tn / n, 6) AS tn, round(fp / n, 6) AS fp, round(fn / n, 6) AS fn, round(tp / n, 6) AS tp FROM c ORDER BY n DESC, source LIMIT 12""",
+    "error_colours": f"""WITH {_SCORED}, m AS ({_SOURCES}) SELECT source, round(1 - accuracy, 6) AS error_rate, CASE WHEN 1 - accuracy > 0.1 THEN 'red' WHEN 1 - accuracy > 0.05 THEN 'orange' ELSE 'green' END AS colour
+FROM m ORDER BY 2 DESC, source LIMIT 15""",
+    "hardest_and_easiest": f"""WITH {_SCORED}, m AS ({_SOURCES}), r AS (SELECT source, n, round(accuracy, 6) AS accuracy, round(mean_p, 6) AS mean_p FROM m)
+(SELECT *, 'hardest' AS side FROM r ORDER BY accuracy, source LIMIT 5) UNION ALL (SELECT *, 'easiest' FROM r ORDER BY accuracy DESC, source DESC LIMIT 5)""",
+    "position_stats": f"""WITH {_POSITIONS}, u AS (UNPIVOT positions ON p_start, p_middle, p_end INTO NAME k VALUE p)
+SELECT k[3:] AS position, label, round(avg(p), 6) AS mean_p, round(stddev_pop(p), 6) AS std_p, round(avg(((p > {THRESHOLD})::INT = label)::INT), 6) AS accuracy, count(*) AS n FROM u GROUP BY ALL""",
+    "start_end_fit": f"""WITH {_POSITIONS}, f AS (SELECT corr(p_start, p_end) AS c, regr_slope(p_end, p_start) AS m, regr_intercept(p_end, p_start) AS b, avg(p_start) AS x, avg(p_end) AS y FROM positions)
+SELECT round(c, 6) AS corr, round(m, 6) AS slope, round(b, 6) AS intercept, round(x, 6) AS mean_x, round(y, 6) AS mean_y, round(CASE WHEN m <> 0 THEN -1 / m ELSE 0 END, 6) AS across_slope,
+round(y - CASE WHEN m <> 0 THEN -1 / m ELSE 0 END * x, 6) AS across_intercept FROM f""",
+    "position_variance": f"""WITH {_POSITIONS}, v AS (SELECT (p_middle > {THRESHOLD})::INT = label AS correct, list_var_pop([p_start, p_middle, p_end]) AS v FROM positions)
+SELECT correct, count(*) AS n, round(avg(v), 6) AS mean_variance, round(max(v), 6) AS max_variance FROM v GROUP BY correct""",
+    "vocabulary_sizes": f"WITH {_TOKENS} SELECT label, count(DISTINCT token) AS vocabulary FROM tokens GROUP BY label",
+    "stripped": "SELECT doc_id, regexp_replace(text, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS text, lang FROM documents",
+    "labels_cast": f"SELECT doc_id, label FROM ({_LABELLED})",
+    "centroids": f"""WITH {_POINTS}, c AS (SELECT source, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, (avg(label) > 0.5)::INT AS label FROM points GROUP BY source ORDER BY source LIMIT 15) SELECT * FROM c WHERE n > 10""",
+    "centroid_separation": f"""WITH {_POINTS}, c AS (SELECT avg(x) FILTER (label = 0) AS a, avg(y) FILTER (label = 0) AS b, avg(x) FILTER (label = 1) AS c, avg(y) FILTER (label = 1) AS d FROM points)
+SELECT round(a, 6) AS x0, round(b, 6) AS y0, round(c, 6) AS x1, round(d, 6) AS y1, round(sqrt((c - a) ** 2 + (d - b) ** 2), 6) AS distance FROM c""",
     "clean_documents": f"SELECT * FROM (SELECT doc_id, {_clean_sql(_DIRTY)} AS text FROM documents) WHERE length(text) > 0",
     "tfidf_values": f"{_tfidf(PARAMS)} SELECT doc_id, array_to_string(ngram, ' ') AS ngram, round(value, 6) AS value FROM v",
     "tfidf_raw": f"{_tfidf(V.Params((2, 4), 10, 1.0, False))} SELECT doc_id, array_to_string(ngram, ' ') AS ngram, round(value, 6) AS value FROM v",
