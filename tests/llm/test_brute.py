@@ -230,7 +230,7 @@ def placed(docs):
 def test_mixing(docs):
     rows = placed(docs)
     given = [(r.doc_id, r.lang, r.source, len(ids_of(BYTES, r.text, 0)) - 1, (r.f, r.r)) for r in rows]
-    for share in (mixing.SHARE, 0.05, 1.9, 3.0):
+    for share in (mixing.SHARE, 1.9):
         got = mixing.shares(docs, BYTES, mixing.WEIGHTS, mixing.DOMAINS, share=share).collect()
         alike([(r.doc_id, r.source, r.n_tokens, r.copies) for r in got], [(g[0], g[2] or "", g[3], c) for g, c in zip(given, brute.mixing(given, mixing, share))])
     assert mixing.shares(docs.limit(0), BYTES).count() == 0

@@ -59,10 +59,11 @@ def fill(children: DataFrame, parent: list[str]) -> DataFrame:
     steps = shared.written(steps.withColumn("bin", F.floor(F.log2("ratio") * BINS)), "ratios")
     bins = steps.groupBy(*parent, "bin").agg(F.sum("w").alias("w"), F.sum("capacity").alias("capacity"), F.min("ratio").alias("ratio"), F.max("pool").alias("pool"))
     whole, before = Window.partitionBy(*parent), Window.partitionBy(*parent).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(
+    bins = bins.select(  # a few thousand rows a parent at most
         *parent, "bin", "ratio", "pool", F.sum("w").over(whole).alias("total"),
         *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_before") for c in ("w", "capacity")),
     )
+    bins = shared.written(bins, "bins")
     need = F.col("capacity_before") + F.col("ratio") * (F.col("total") - F.col("w_before"))
     last = bins.filter(need <= F.col("pool")).groupBy(*parent).agg(F.max_by(F.struct("bin", "total", "w_before", "capacity_before"), "bin").alias("last"))
     # the range where the pool ends: its ratios in order
@@ -97,7 +98,7 @@ def budgets(leaves: DataFrame, weights: dict, budget: float, max_epochs: int) ->
     for depth in range(len(LEVELS)):
         keys, parent = list(LEVELS[: depth + 1]), list(LEVELS[:depth])
         children = rows.groupBy(*keys).agg(F.first(f"w_{LEVELS[depth]}").alias("w"), F.sum("capacity").alias("capacity"))
-        children = children.join(pools, parent) if parent else children.withColumn("pool", F.lit(float(budget)))
+        children = shared.written(children.join(pools, parent) if parent else children.withColumn("pool", F.lit(float(budget))), "children")
         pools = shared.written(fill(children, parent).select(*keys, F.col("given").alias("pool")), "pools")
     return rows.select(*LEVELS, "n").join(pools, list(LEVELS)).select(*LEVELS, "n", F.floor(F.col("pool") + 1e-6).alias("budget"))
 
