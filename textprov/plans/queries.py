@@ -23,8 +23,14 @@ def r6(c) -> F.Column:
     return F.round(c, 6)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores, so a small one, is spread over all; others are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def docs(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", "text")
+    return spread(read(spark, d, "documents").select("doc_id", "text"))
 
 
 def labelled(spark, d) -> DataFrame:
@@ -96,8 +102,10 @@ def tokens_by_label(spark, d) -> DataFrame:
 
 def chunk_documents(spark, d):
     parts = T.chunks(T.words(F.col("text")), 300, 50)
-    rows = docs(spark, d).select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").alias("num_chunks"), F.posexplode("parts").alias("chunk_idx", "c"))
-    return rows.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("num_chunks").cast("long").alias("num_chunks"), F.array_join("c", " ").alias("text"))
+    dataset = F.coalesce("source", F.lit("unknown")).alias("dataset")
+    rows = spread(read(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", dataset, parts.alias("parts"))
+    rows = rows.select("doc_id", "dataset", F.size("parts").alias("num_chunks"), F.posexplode("parts").alias("chunk_idx", "c"))
+    return rows.select("doc_id", "dataset", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("num_chunks").cast("long").alias("num_chunks"), F.array_join("c", " ").alias("text"))
 
 
 def position_chunks(spark, d):
@@ -135,13 +143,12 @@ def dedup(spark, d):
 
 
 def json_output(spark, d):
-    out = F.to_json(F.struct((F.col("p") >= THRESHOLD).cast("int").alias("class"), classify.classification(F.col("p"), THRESHOLD).alias("class_label")))
-    return scored(spark, d).select("doc_id", out.alias("json"))
+    return scored(spark, d).select("doc_id", score.as_json(F.col("p"), THRESHOLD).alias("json"))
 
 
 def clean_documents(spark, d):
     text = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), F.col("text"), F.lit(" (AP) - RESULTS: end&amp;gone <b>x</b>  y"))
-    return clean_rows(read(spark, d, "documents").select("doc_id", text.alias("text")))
+    return clean_rows(docs(spark, d).select("doc_id", text.alias("text")))
 
 
 def bpe_tokens(spark, d):
@@ -423,8 +430,8 @@ SELECT doc_id, p, CASE WHEN p >= {THRESHOLD} THEN 'AI' ELSE 'Human' END AS class
     "union_diagonal": "SELECT text, source, NULL::VARCHAR AS item_id FROM documents UNION ALL SELECT text, NULL, item_id::VARCHAR FROM benchmark",
     "dedup_text_label": f"SELECT min(doc_id) AS doc_id, label FROM ({_LABELLED}) GROUP BY text, label",
     "conversation_assistant_turns": "SELECT conv_id, turn, text, 1 AS label FROM conversations WHERE role = 'assistant'",
-    "chunk_documents": f"""WITH t AS (SELECT doc_id, {_W} AS t FROM documents), n AS (SELECT *, CASE WHEN len(t) <= 300 THEN 1 ELSE CAST(ceil((len(t) - 300) / 250.0) AS BIGINT) + 1 END AS k FROM t)
-SELECT doc_id, i AS chunk_idx, CAST(k AS BIGINT) AS num_chunks, array_to_string(t[i * 250 + 1:i * 250 + 300], ' ') AS text FROM (SELECT *, unnest(range(k)) AS i FROM n)""",
+    "chunk_documents": f"""WITH t AS (SELECT doc_id, coalesce(source, 'unknown') AS dataset, {_W} AS t FROM documents), n AS (SELECT *, CASE WHEN len(t) <= 300 THEN 1 ELSE CAST(ceil((len(t) - 300) / 250.0) AS BIGINT) + 1 END AS k FROM t)
+SELECT doc_id, dataset, i AS chunk_idx, CAST(k AS BIGINT) AS num_chunks, array_to_string(t[i * 250 + 1:i * 250 + 300], ' ') AS text FROM (SELECT *, unnest(range(k)) AS i FROM n)""",
     "position_chunks": f"""SELECT doc_id, {_PART.format("1:k")} AS first_part, {_PART.format("n // 2 - k // 2 + 1:n // 2 - k // 2 + k")} AS middle_part, {_PART.format("n - k + 1:n")} AS last_part
 FROM (SELECT *, least(50, n // 5) AS k FROM (SELECT doc_id, {_W} AS t, len(t) AS n FROM documents) WHERE n >= 100)""",
     "confusion": f"WITH {_SCORED} SELECT {_CONF} FROM scored",
@@ -445,5 +452,5 @@ accuracy < 0.85 OR abs(ai_ratio - mean_p) > 0.3 AS outlier FROM m""",
     "token_kl": f"""WITH {_TOKENS}, b AS (SELECT token, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM tokens GROUP BY token),
 s AS (SELECT (n0 / sum(n0) OVER () + 1e-10) / (1 + 1e-10 * count(*) OVER ()) AS p, (n1 / sum(n1) OVER () + 1e-10) / (1 + 1e-10 * count(*) OVER ()) AS q FROM b)
 SELECT round(sum(p * ln(p / q)), 6) AS kl, count(*) AS vocabulary FROM s""",
-    "json_output": f"WITH {_SCORED} SELECT doc_id, '{{\"class\":' || predicted || ',\"class_label\":\"' || CASE WHEN predicted = 1 THEN 'AI' ELSE 'Human' END || '\"}}' AS json FROM scored",
+    "json_output": f"""WITH {_SCORED} SELECT doc_id, '{{"class":' || predicted || ',"class_label":"' || CASE WHEN predicted = 1 THEN 'ai' ELSE 'human' END || '","probabilities":{{"human":' || round(1 - p, 9) || ',"ai":' || p || '}}}}' AS json FROM scored""",
 }
