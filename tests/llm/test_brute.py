@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textprov.llm import bloom_lm, exact_dedup, importance, minhash, mixing, packing, quality_rules, shared, textscan, token_counts, token_store, wordcache
+from textprov.llm import bloom_lm, chat, exact_dedup, importance, minhash, mixing, packing, quality_rules, shared, textscan, token_counts, token_store, wordcache
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
@@ -88,6 +88,25 @@ def test_near(docs, rows):
     assert got.filter("NOT (kept <=> (doc_id <=> component_id))").isEmpty()
 
 
+def test_texts_that_share_a_passage(spark, monkeypatch):
+    """Many that share about half and are not linked, with a few linked pairs among them: all links, few pairs."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    given = [(i, f"{passage} " + " ".join(f"w{i}x{k}" for k in range(50))) for i in range(150)]
+    given += [(1000 + i, given[i][1] + f" end{i}") for i in range(0, 150, 30)] + [(2000 + i, " ".join(given[i][1].split()[6:])) for i in range(0, 150, 50)]
+    looked, write = [], shared.written
+
+    def spy(df, name):
+        out = write(df, name)
+        looked.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(shared, "written", spy)
+    got = minhash.near_duplicates(spark.createDataFrame(given, "doc_id long, text string"))
+    expected = brute.near(given)
+    alike(got.select("doc_id", "n_shingles", "component_id").collect(), [(g[0], *e) for g, e in zip(given, expected)])
+    assert len({e[1] for e in expected}) == 150 and sum(looked) < 1000
+
+
 def test_exact(spark, docs, rows):
     index = exact_dedup.DigestIndex(spark, shared.new_folder(spark, "test-index"))
     got = index.decide(docs, "one").collect()
@@ -269,6 +288,18 @@ def kept_exactly(rows):
     return [x for _, x in last.values()]
 
 
+def test_empty_tables(spark, docs):
+    none = spark.createDataFrame([], docs.schema)
+    folder = shared.new_folder(spark, "test-none")
+    assert token_counts.count_tokens(none, BYTES).count() == 0
+    assert token_store.read_documents(token_store.write_shards(none, folder, WORDS, 1), folder).count() == 0
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert importance.resample(none, labels, labels.quality == 1).count() == 0
+    assert {r.kept for r in importance.resample(docs, labels.limit(0), labels.quality == 1).collect()} == {True}
+    chat.write(chat.fold(chat.events(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))), folder + "-chat")
+    assert chat.read_back(spark, folder + "-chat").count() == 0
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_of_empty_tables(spark, docs, name):
     stage = dict(corpus_pipeline.STAGES)[name]
