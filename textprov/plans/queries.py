@@ -409,6 +409,12 @@ SELECT correct, count(*) AS n, round(avg(v), 6) AS mean_variance, round(max(v),
     "stripped": "SELECT doc_id, regexp_replace(text, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS text, lang FROM documents",
     "labels_cast": f"SELECT doc_id, label FROM ({_LABELLED})",
     "centroids": f"""WITH {_POINTS}, c AS (SELECT source, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, (avg(label) > 0.5)::INT AS label FROM points GROUP BY source ORDER BY source LIMIT 15) SELECT * FROM c WHERE n > 10""",
+    "density_grid": f"""WITH {_POINTS}, box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points),
+s AS (SELECT label, count(*) AS n, var_samp(x) * count(*) ** (-1 / 3.0) AS xx, var_samp(y) * count(*) ** (-1 / 3.0) AS yy, covar_samp(x, y) * count(*) ** (-1 / 3.0) AS xy FROM points GROUP BY label HAVING count(*) > 10),
+g AS (SELECT i, j, x0 + j * (x1 - x0) / 19 AS gx, y0 + i * (y1 - y0) / 19 AS gy FROM box, range(20) a(i), range(20) b(j))
+SELECT s.label, CAST(i AS INT) AS i, CAST(j AS INT) AS j,
+round(sum(exp(-(yy * (gx - x) ** 2 - 2 * xy * (gx - x) * (gy - y) + xx * (gy - y) ** 2) / (2 * (xx * yy - xy * xy)))) / any_value(2 * pi() * sqrt(xx * yy - xy * xy) * n), 4) AS density
+FROM s JOIN points USING (label), g GROUP BY ALL""",
     "centroid_separation": f"""WITH {_POINTS}, c AS (SELECT avg(x) FILTER (label = 0) AS a, avg(y) FILTER (label = 0) AS b, avg(x) FILTER (label = 1) AS c, avg(y) FILTER (label = 1) AS d FROM points)
 SELECT round(a, 6) AS x0, round(b, 6) AS y0, round(c, 6) AS x1, round(d, 6) AS y1, round(sqrt((c - a) ** 2 + (d - b) ** 2), 6) AS distance FROM c""",
     "clean_documents": f"SELECT * FROM (SELECT doc_id, {_clean_sql(_DIRTY)} AS text FROM documents) WHERE length(text) > 0",
