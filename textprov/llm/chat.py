@@ -59,10 +59,11 @@ def parse(turn: str) -> tuple[str, str]:
 
 def alive(rows: DataFrame) -> DataFrame:
     """``rows`` (conv_id, turn, seq, kind) without what a regeneration of an earlier turn dropped."""
-    turns = rows.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"))
+    turns = rows.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"), F.min("seq").alias("first"))
     before = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn")).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = turns.withColumn("cut", F.max("again").over(before)).filter("cut IS NOT NULL")
-    cuts = cuts.select(F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), "cut")
+    # the turns that lose something, written so that Spark knows how few they are: else the join would shuffle all texts
+    cuts = turns.withColumn("cut", F.max("again").over(before)).filter("first < cut")
+    cuts = shared.written(cuts.select("conv_id", "turn", "cut"), "cuts").select(F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), "cut")
     same = F.col("conv_id").eqNullSafe(F.col("__conv")) & F.col("turn").eqNullSafe(F.col("__turn"))
     return rows.join(cuts, same, "left").filter("cut IS NULL OR seq >= cut").drop("__conv", "__turn", "cut")
 
