@@ -1,6 +1,7 @@
 """Operators against brute force: the whole of sf0.001 with awkward rows added, and the pipeline."""
 
 from collections import Counter
+from functools import cache
 from pathlib import Path
 
 import brute
@@ -50,9 +51,11 @@ def alike(got, expected):
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, expected), key=key)
 
 
+library = cache(wordcache.library)
+
+
 def ids_of(path, text, end):
-    lib = wordcache.library(path)
-    return [*lib.encode(text or "", add_special_tokens=False).ids, end]
+    return [*library(path).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def test_token_store(spark, docs, rows):
