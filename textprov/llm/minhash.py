@@ -12,14 +12,12 @@ Candidates. BANDS bands of ROWS slots: a pair at the threshold of 0.7 is missed
 whole sets are moved, pairs are dropped whose sizes rule out a link, or whose counts by hash range (a
 byte a shingle instead of eight) do: the sum of the smaller counts is never below the intersection.
 
-Verification loses no pair of a bucket, however large. First the whole sets of all members are compared with
-one hub of their bucket, and what is linked is joined. Members of buckets that aren't in one component then,
-texts alike by chance or by passages that they share, get new keys by prefix filtering, which no linked pair
-escapes: their rarest elements. From then on each round takes hubs (one a key, then 8, 64, ... by salted
-minimum), compares members with their key's hubs unless they are in one component already, joins what is
-linked, and drops the hubs, until each key's members are in one component. Only texts that share so much that
-prefixes can't part them (Jaccard about 0.54 to 0.7), all unlinked, have all their pairs looked at, by sizes
-and counts first. Joins are on the key with AQE's splitting of skewed partitions; hubs are few.
+Verification loses no pair of a bucket, however large: each round takes hubs (one a bucket, then 8, 64, ...
+by salted minimum), compares the whole sets of every member with its bucket's hubs unless they are in one
+component already, joins what is linked, and drops the hubs. A bucket is done when its members are in one
+component. So a bucket of linked texts takes as many comparisons as it has members, and one of texts that
+are alike by chance or by a passage and aren't linked ends with all its pairs looked at, by sizes and counts
+first. Bucket joins are on the bucket with AQE's splitting of skewed partitions; hubs are few.
 
 Sets are sets of 64-bit hashes of lower-cased word windows; classes have 128-bit digests.
 
@@ -215,33 +213,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _prefixes(sets: DataFrame, cids: DataFrame, percent: int) -> DataFrame:
-    """key, cid and size: for each class of ``cids`` those of its elements of which two linked classes share one at least.
-
-    Elements are ordered by the number of these classes that have them, then by hash. Linked sets share ``percent`` of each,
-    so they can't both lack the other's elements in the first part of that order that is one longer than the rest may be.
-    Elements of one class alone come first and are no keys, so texts that share a passage and differ in more than the rest
-    allows have none.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch["size"].to_numpy()
-            found = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch["elements"]]) if len(batch) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["cid"].to_numpy(), size)), pa.array(found)], names=["cid", "element"])
-
-    mine = sets.join(cids, "cid", "left_semi").select("cid", "size", "elements")
-    rows = shared.written(mine.mapInArrow(run, "cid long, element long"), "elements")
-    often = shared.written(rows.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
-    rows = shared.join_groups(rows, often, "element", "n").filter("n IS NOT NULL")
-    rows = rows.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("e"))  # a text's own elements
-    rows = rows.join(sets.select("cid", "size"), "cid")
-    alone = F.col("size") - F.size("e")
-    length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
-    rows = rows.filter(length > 0).select("cid", "size", F.explode(F.slice("e", F.lit(1), length.cast("int"))).alias("e"))
-    return rows.select(F.col("e.element").alias("key"), "cid", "size")
-
-
 def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int) -> DataFrame:
     """cid and comp (smallest cid linked with it) of classes that are linked with others."""
     # one exchange serves both sides; a class has BANDS different keys, so no key holds over 1/BANDS of these rows
@@ -259,13 +230,6 @@ def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int)
     needed = classes.join(members.select("cid").distinct(), "cid", "left_semi")
     folder = shared.save_decisions(needed.select("rep.file", "rep.row", F.col("cid").alias("value")), "needed")
     sets = shared.written(_sets(docs, folder, window), "sets")
-
-    def still_open(labelled: DataFrame) -> DataFrame:
-        """The members of keys whose members are not in one component."""
-        labelled = shared.written(labelled, "members")
-        keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        return shared.written(labelled.join(keys, "key", "left_semi"), "open")
-
     members, links, tried, comps = members.drop("hub"), None, None, None
     hubs = members.groupBy("key").agg(F.min("cid").alias("cid"))
     rounds = 0
@@ -279,15 +243,13 @@ def _components(docs: DataFrame, classes: DataFrame, window: int, percent: int)
         # the hubs of this round have met every member of their bucket
         members = members.join(hubs, ["key", "cid"], "left_anti")
         labelled = members.join(comps.select("cid", "comp"), "cid", "left").select("key", "cid", "size", F.coalesce("comp", "cid").alias("comp"))
-        members = still_open(labelled)
-        if rounds == 0 and not members.isEmpty():
-            # what is left are texts that are alike by chance or share passages: prefixes tell which may be linked
-            left = members.select("cid", "comp").distinct()
-            members = still_open(_prefixes(sets, left, percent).join(left, "cid"))
+        labelled = shared.written(labelled, "members")
+        open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        members = shared.written(labelled.join(open_keys, "key", "left_semi"), "open")
         if members.isEmpty():
             return comps
         rounds += 1
-        salt = F.pmod(F.xxhash64("cid", F.lit(rounds)), F.lit(HUBS ** (rounds - 1)))
+        salt = F.pmod(F.xxhash64("cid", F.lit(rounds)), F.lit(HUBS**rounds))
         hub = F.min(F.struct("cid", "comp", "size")).alias("hub")
         hubs = shared.written(members.groupBy("key", salt.alias("salt")).agg(hub).drop("salt"), "hubs")
         met = members.join(hubs, "key").filter((F.col("comp") != F.col("hub.comp")) & near_size(F.col("size"), F.col("hub.size")))
