@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +162,36 @@ def test_lm_phrases_seen_once(spark):
     assert rows[1].base_score == pytest.approx(rows[2].base_score) and rows[1].score > rows[2].score + 0.5
 
 
+def test_lm_words_come_with_the_answers(docs):
+    """However many words there are, scoring joins nothing and explodes no word; two words may share the 48 bits of a key."""
+    scored = bloom_lm.score(docs.select("doc_id", "text"), docs, max_words=3)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Aggregate" not in plan
+    n = Counter(w for r in ROWS for w in [*re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").lower()), None])
+    for r in scored.collect():
+        text = next(x[1] for x in ROWS if x[0] == r.doc_id)
+        said = [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower()), None]
+        assert r.base_score == pytest.approx(sum(np.log10((n[w] + 1) / (n.total() + len(n) + 1)) for w in said)) and r.n_known == len(said)
+    words = np.array([5 << 16, (5 << 16) + 1, (5 << 16) + 65535, 9 << 40], np.uint64)
+    keys = np.array([1, 5, 6, 9 << 24], np.uint64)
+    assert (bloom_lm.unpack_words(bloom_lm.pack_words(words, keys), keys, 4) == words).all()
+
+
+def test_lm_numbered():
+    rng = np.random.default_rng(1)
+    for x in (rng.integers(0, 1 << 64, 5000, np.uint64), rng.integers(0, 1 << 14, 9000, np.uint64), rng.integers(0, 300, 500, np.uint64) << np.uint64(6), np.empty(0, np.uint64), np.array([7], np.uint64)):
+        for got, expected in zip(bloom_lm.numbered(x), np.unique(x, return_inverse=True)):
+            assert (got == expected).all()
+
+
+def test_lm_levels_from_known_ones():
+    rng = np.random.default_rng(1)
+    keys, counts = np.unique(rng.integers(0, 1 << 48, 20_000, dtype=np.uint64)), rng.integers(1, 99, 20_000)
+    segment, top = bloom_lm.Filter.build(keys, counts), bloom_lm.levels(counts)
+    assert (segment.level(keys, top) == segment.level(keys)).all()
+    assert (segment.level(keys + np.uint64(1), 0 * top) == segment.level(keys + np.uint64(1))).all()
+
+
 def test_rare_language(spark, monkeypatch):
     rng = np.random.default_rng(1)
     common, rare = ([f"{a}{b}{c}" for a in x for b in x for c in x[:4]] for x in ("etaoins", "xqzjkvw"))

@@ -18,8 +18,8 @@ written first, and a run that doesn't match its answer raises an error.
 Score. Interpolation from order to order, ``p_n = w_n * c(ngram) / c(context) + (1 - w_n) * p_(n-1)``
 where the context was seen and p_(n-1) elsewhere, above ``p_1 = (c + 1) / (N + V + 1)``, with
 each level's mean count and no n-gram above its context: but for quantisation and false positives, a
-probability whose sum over what may follow is 1. The base score uses exact counts: words of more than N / MAX_WORDS occurrences
-(at most MAX_WORDS of them) are broadcast, others are joined by hash.
+probability whose sum over what may follow is 1. The base score uses exact counts of words by 64-bit hash. They take
+the same way as levels: what a run sent names its words too, and their counts come back with the answer.
 
 Defined results: null and empty texts are one end token; a null id is in the training part; repeated
 rows count and are scored each; with no training text every token is unknown and N = V = 0; an empty
@@ -47,8 +47,7 @@ from .shared import place
 ORDER, BASE, BITS, PROBES = 3, 1.5, 10, 7
 #: Weight of the counts of each order from 2 on.
 WEIGHTS = (0.1, 0.3)
-MAX_WORDS = 4_000_000
-#: Words a task holds before it sends them, and n-grams that a part takes up before it merges them.
+#: Words or n-grams that a part takes up before it merges them.
 FLUSH = 3_000_000
 #: Entries in a row of the table of counts.
 CHUNK = 1 << 18
@@ -58,7 +57,7 @@ RUN = 8 << 20
 PART = 16 << 20
 
 END = np.uint64(0xA0761D6478BD642F)
-_P = np.uint64(0xE7037ED1A0B428DB)
+_P, _G = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x9E3779B97F4A7C15)
 _LOW, _S16, _S32 = np.uint64((1 << 32) - 1), np.uint64(16), np.uint64(32)
 
 
@@ -158,6 +157,18 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return counts
 
 
+def pack_words(words: np.ndarray, keys: np.ndarray) -> bytes:
+    """Sorted distinct words whose high 48 bits are all among ``keys``: how many words each key has, and their low bits."""
+    each = np.bincount(np.searchsorted(keys, words >> _S16), minlength=len(keys))
+    return pa.compress(each.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), codec="zstd", asbytes=True) + words.astype("<u2").tobytes()
+
+
+def unpack_words(raw: bytes, keys: np.ndarray, n: int) -> np.ndarray:
+    each = np.frombuffer(pa.decompress(raw[: len(raw) - 2 * n], 2 * len(keys), codec="zstd", asbytes=True), np.uint8).reshape(2, -1)
+    low = np.frombuffer(raw, "<u2", n, len(raw) - 2 * n).astype(np.uint64)
+    return np.repeat(keys, each[0] + (each[1].astype(np.int64) << 8)) << _S16 | low
+
+
 def tally(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 48-bit keys, sorted, and how often each comes with a flag."""
     both, n = np.unique(keys << np.uint64(1) | flags.astype(np.uint64), return_counts=True)
@@ -173,11 +184,34 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
-SENT = "part int, kind int, task int, run int, check long, keys binary, counts binary"
-KEPT = "run int, part int, check long, keys binary, counts binary, levels binary, task int"
-NGRAMS, WORDS = range(2)
-#: Tasks of rows that answer no task: counts of words, and sums by level.
-OF_WORDS, OF_LEVELS = -1, -2
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the place of each value of ``x`` among them; values are 64-bit hashes.
+
+    ``np.unique`` does the same by argsort, which takes eight times as long as the sort of high bits and positions here.
+    """
+    low = np.uint64((1 << max(len(x) - 1, 1).bit_length()) - 1)
+    order = (np.sort(x & ~low | np.arange(len(x), dtype=np.uint64)) & low).view(np.int64)
+    found = x[order]
+    # values whose high bits are the same came by position
+    mixed = distinct(found[1:][found[1:] < found[:-1]] & ~low)
+    if len(mixed) > 1000:
+        order = np.argsort(x)
+        found = x[order]
+    elif len(mixed):
+        high = found & ~low
+        for lo, hi in zip(np.searchsorted(high, mixed), np.searchsorted(high, mixed, "right")):
+            order[lo:hi] = order[lo:hi][np.argsort(found[lo:hi])]
+            found[lo:hi] = x[order[lo:hi]]
+    new = np.append(True, found[1:] != found[:-1])[: len(x)]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return found[new], place
+
+
+SENT = "part int, task int, run int, check long, keys binary, counts binary, n_words int, words binary, times binary"
+KEPT = "run int, part int, check long, sums binary, levels binary, times binary, task int"
+#: Task of rows that answer no task: sums of counts by level.
+OF_LEVELS = -1
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -187,11 +221,11 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def answers(asking: list[DataFrame], order: int = ORDER, parts: int | None = None) -> tuple[DataFrame, str]:
-    """A table (KEPT) and its folder: counts of the words of training texts, sums of counts by level, and for each run of the
-    texts that ask the levels of its n-grams.
+    """A table (KEPT) and its folder: sums of counts by level, and for each run of the texts that ask the levels of its n-grams
+    and the exact counts of its words.
 
     ``asking``: rows of text, ask and train (boolean, one ``ask`` a table). A run sends its distinct keys once, with the counts
-    of those that come in training texts; its levels, by part, are in the keys' order.
+    of those that come in training texts, and so its words; its levels and its words' counts, by part, are in their order.
     """
     spark = asking[0].sparkSession
     parts = parts or shared.parts(spark)
@@ -199,13 +233,8 @@ def answers(asking: list[DataFrame], order: int = ORDER, parts: int | None = Non
     def bounds(keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(_part(keys, parts), np.arange(parts + 1))
 
-    def words(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        cut = bounds(keys >> _S16)
-        return _rows([(p, WORDS, -1, 0, 0, keys[cut[p] : cut[p + 1]].tobytes(), counts[cut[p] : cut[p + 1]].astype("<i8").tobytes()) for p in range(parts) if cut[p] < cut[p + 1]], SENT)
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        word_keys, word_counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         for i, run in enumerate(runs(batches)):
             h, text, longer = read(run, order)
             train = np.concatenate([b["train"].to_numpy(zero_copy_only=False) for b in run])[text]
@@ -216,65 +245,70 @@ def answers(asking: list[DataFrame], order: int = ORDER, parts: int | None = Non
                 keys.append(g[there] >> _S16)
                 flags.append(train[there])
             keys, counts = tally(np.concatenate(keys), np.concatenate(flags))
-            check, cut = _check(keys), bounds(keys)
+            words = distinct(h)
+            times = np.zeros(len(words), np.int64)
+            k, n = np.unique(h[train], return_counts=True)
+            times[np.searchsorted(words, k)] = n
+            check, cut, word_cut = _check(keys), bounds(keys), bounds(words >> _S16)
             rows = []
             for p in np.flatnonzero(np.diff(cut)).tolist():
                 k, c = keys[cut[p] : cut[p + 1]], counts[cut[p] : cut[p + 1]]
-                rows.append((p, NGRAMS, task if asks else -1, i, check, pack(k), pack_counts(c) if c.any() else None))
+                w, n = words[word_cut[p] : word_cut[p + 1]], times[word_cut[p] : word_cut[p + 1]]
+                rows.append((p, task if asks else -1, i, check, pack(k), pack_counts(c) if c.any() else None, len(w), pack_words(w, k), pack_counts(n) if n.any() else None))
             yield _rows(rows, SENT)
-            k, c = np.unique(h[train], return_counts=True)
-            word_keys, word_counts = _merge(np.append(word_keys, k), np.append(word_counts, c))
-            if len(word_keys) > FLUSH:
-                yield words(word_keys, word_counts)
-                word_keys, word_counts = word_keys[:0], word_counts[:0]
-        if len(word_keys):
-            yield words(word_keys, word_counts)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, part = [], None
         held, size = [np.empty(0, np.uint64)], 0
         word, n_words = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
         for batch in batches:
-            for p, kind, task, run, check, keys, counts in zip(*(batch.column(i) for i in range(7))):
-                part = p.as_py()
-                if kind.as_py() == WORDS:
-                    word.append((np.frombuffer(keys.as_buffer(), "<u8").astype(np.uint64), np.frombuffer(counts.as_buffer(), "<i8")))
+            for p, *row, words, times in zip(*(batch.column(i) for i in range(9))):
+                part, words, times = p.as_py(), words.as_py(), times.as_py()
+                task, run, check, raw, counts, n = (x.as_py() for x in row)
+                k = unpack(raw)
+                w = unpack_words(words, k, n)
+                sent.append((task, run, check, raw, counts, w))
+                held.append(k)
+                size += len(k)
+                if size > 2 * len(held[0]) + FLUSH:
+                    held = [distinct(np.concatenate(held))]
+                    size = len(held[0])
+                if times is not None:
+                    times = unpack_counts(times, n)
+                    word.append((w[times > 0], times[times > 0]))
                     n_words += len(word[-1][0])
                     if n_words > 2 * len(word[0][0]) + FLUSH:
                         word = [_merge(*(np.concatenate(x) for x in zip(*word)))]
                         n_words = len(word[0][0])
-                    continue
-                sent.append((task.as_py(), run.as_py(), check.as_py(), keys.as_py(), counts.as_py()))
-                held.append(unpack(sent[-1][3]))
-                size += len(held[-1])
-                if size > 2 * len(held[0]) + FLUSH:
-                    held = [distinct(np.concatenate(held))]
-                    size = len(held[0])
         if part is None:
             return
-        w, n = _merge(*(np.concatenate(x) for x in zip(*word)))
-        for i in range(0, len(w), CHUNK):
-            yield _rows([(0, part, 0, w[i : i + CHUNK].tobytes(), n[i : i + CHUNK].astype("<i8").tobytes(), None, OF_WORDS)], KEPT)
+        words, times = _merge(*(np.concatenate(x) for x in zip(*word)))
         keys = distinct(np.concatenate(held))
-        del held
+        del held, word
         counts = np.zeros(len(keys), np.int64)
-        for *_, raw, c in sent:
-            if c is not None:
+        for i, (task, run, check, raw, c, w) in enumerate(sent):
+            at = None
+            if task >= 0 or c is not None:
                 k = unpack(raw)
-                counts[np.searchsorted(keys, k)] += unpack_counts(c, len(k))
+                at = np.searchsorted(keys, k).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+                if c is not None:
+                    counts[at] += unpack_counts(c, len(k))
+            sent[i] = (task, run, check, at, w) if task >= 0 else None
+        top = np.zeros(len(keys), np.int64)
         there = counts > 0
+        top[there] = levels(counts[there])
         sums = np.zeros((2, LEVELS + 1), np.int64)
-        top = levels(counts[there])
-        np.add.at(sums[0], top, counts[there])
-        np.add.at(sums[1], top, 1)
-        yield _rows([(0, part, 0, None, sums.astype("<i8").tobytes(), None, OF_LEVELS)], KEPT)
+        np.add.at(sums[0], top[there], counts[there])
+        np.add.at(sums[1], top[there], 1)
+        yield _rows([(0, part, 0, np.append(sums, [times.sum(), len(words)]).astype("<i8").tobytes(), None, None, OF_LEVELS)], KEPT)
         segment = Filter.build(keys[there], counts[there])
-        del counts, there, top
-        found = segment.level(keys).astype(np.uint8)
-        for task, run, check, raw, _ in sent:
-            if task >= 0:
-                mine = found[np.searchsorted(keys, unpack(raw))]
-                yield _rows([(run, part, check, None, None, pa.compress(mine.tobytes(), codec="zstd", asbytes=True), task)], KEPT)
+        del counts, there
+        found = segment.level(keys, top).astype(np.uint8)
+        words, times = np.append(words, np.uint64(0)), np.append(times, 0)  # so that a place behind the last word holds something
+        for task, run, check, at, w in filter(None, sent):
+            place = np.searchsorted(words[:-1], w)
+            exact = np.where(words[place] == w, times[place], 0)
+            yield _rows([(run, part, check, None, pa.compress(found[at].tobytes(), codec="zstd", asbytes=True), pack_counts(exact), task)], KEPT)
 
     # the tables that ask come first, so that tasks have the numbers that they have when documents are scored
     out = reduce(DataFrame.union, [x.mapInArrow(send, SENT) for x in asking])
@@ -294,17 +328,19 @@ class Answers:
         for file in fs.get_file_info(pafs.FileSelector(f"{at}/task={task}", allow_not_found=True)):
             if file.path.endswith(".parquet"):
                 with fs.open_input_file(file.path) as f:
-                    rows = pq.ParquetFile(f).read(columns=["run", "part", "check", "levels"])
+                    rows = pq.ParquetFile(f).read(columns=["run", "part", "check", "levels", "times"])
                 for run, *rest in zip(*(c.to_pylist() for c in rows.columns)):
                     self.raw.setdefault(run, []).append(rest)
 
-    def levels(self, run: int, keys: np.ndarray, parts: int) -> np.ndarray:
-        """Levels of the sorted distinct ``keys`` of a run."""
+    def of(self, run: int, keys: np.ndarray, words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of the sorted distinct ``keys`` of a run, and the counts of its sorted distinct ``words``."""
         check, sizes = _check(keys), np.bincount(_part(keys, parts), minlength=parts)
-        found = {part: raw for part, seen, raw in self.raw.pop(run, []) if seen == check}
+        n_words = np.bincount(_part(words >> _S16, parts), minlength=parts)
+        found = {part: raw for part, seen, *raw in self.raw.pop(run, []) if seen == check}
         if sorted(found) != np.flatnonzero(sizes).tolist():
             raise ValueError("documents came in another order when they were read again")
-        return np.concatenate([np.frombuffer(pa.decompress(found[i], int(sizes[i]), codec="zstd", asbytes=True), np.uint8) for i in sorted(found)]).astype(np.int64)
+        level = [np.frombuffer(pa.decompress(found[i][0], int(sizes[i]), codec="zstd", asbytes=True), np.uint8) for i in sorted(found)]
+        return np.concatenate(level).astype(np.int64), np.concatenate([unpack_counts(found[i][1], int(n_words[i])) for i in sorted(found)])
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -314,23 +350,24 @@ def levels(counts: np.ndarray) -> np.ndarray:
 LEVELS = 127
 
 
-def level_means(counted: DataFrame) -> np.ndarray:
-    """The mean count of each level (0 for level 0), so that counts sum to what was counted; the middle where a level is empty."""
+def totals(counted: DataFrame) -> tuple[np.ndarray, int, int]:
+    """The mean count of each level (0 for level 0), so that counts sum to what was counted, the middle where a level is empty;
+    the number of training tokens and of distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * (LEVELS + 1), np.int64)
+        total = np.zeros(2 * (LEVELS + 1) + 2, np.int64)
         for batch in batches:
-            for raw in batch["counts"]:
+            for raw in batch["sums"]:
                 total += np.frombuffer(raw.as_buffer(), "<i8")
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["at", "n"])
 
-    rows = counted.filter(F.col("task") == OF_LEVELS).select("counts").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    sums = np.zeros(2 * (LEVELS + 1))
+    rows = counted.filter(F.col("task") == OF_LEVELS).select("sums").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = np.zeros(2 * (LEVELS + 1) + 2, np.int64)
     for at, n in rows.collect():
         sums[at] = n
-    total, items = sums.reshape(2, -1)
+    total, items = sums[:-2].reshape(2, -1).astype(np.float64)
     middle = np.append(0.0, np.maximum(1.0, [(BASE ** (q - 1.0) + BASE**q - 1) / 2 for q in range(1, LEVELS + 1)]))
-    return np.where(items > 0, total / np.maximum(items, 1), middle)
+    return np.where(items > 0, total / np.maximum(items, 1), middle), int(sums[-2]), int(sums[-1])
 
 
 def interpolate(level: np.ndarray, longer: list[np.ndarray], found: list[np.ndarray], means: np.ndarray, bottom: float, weights: tuple[float, ...]) -> np.ndarray:
@@ -367,57 +404,42 @@ class Filter:
             for i in range(0, len(mine), CHUNK):
                 at, step = cls.places(mine[i : i + CHUNK], level, bits)
                 for _ in range(PROBES):
-                    table[at.astype(np.int64)] = True
-                    at = at + step
-                    at[at >= bits] -= np.uint64(bits)
+                    table[at.view(np.int64)] = True
+                    at += step
+                    np.minimum(at, at - np.uint64(bits), out=at)  # below 0 it wraps, which is more
         return cls(bits, np.packbits(table, bitorder="little"))
 
     @staticmethod
-    def places(key: np.ndarray, level: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def places(key: np.ndarray, level: int | np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the item (key, level) that make its PROBES places within the segment."""
-        x = textscan.mix(key * _P + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+        x = textscan.mix(key * _P + np.atleast_1d(np.asarray(level, np.uint64)) * _G)
         # multiply-shift instead of a remainder
         return (x >> _S32) * np.uint64(bits) >> _S32, ((x & _LOW) * np.uint64(bits - 1) >> _S32) + np.uint64(1)
 
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each n-gram; 0 if it isn't there."""
-        out = np.zeros(len(keys), np.int64)
+    def level(self, keys: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+        """Level of each n-gram; 0 if it isn't there. ``least``: levels up to which they are known to have entered."""
+        out = np.zeros(len(keys), np.int64) if least is None else least.copy()
+        bits = np.uint64(self.bits)
         for i in range(0, len(keys), CHUNK):
-            here, level = keys[i : i + CHUNK], 0
+            here, now = keys[i : i + CHUNK], out[i : i + CHUNK]
             live = np.arange(len(here))
             while len(live):
-                level += 1
-                at, step = self.places(here[live], level, self.bits)
-                mine = np.arange(len(live))
+                at, step = self.places(here[live], now[live] + 1, self.bits)
                 for _ in range(PROBES):
-                    hit = (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    mine = mine[hit]
-                    at, step = at[hit], step[hit]
-                    at = at + step
-                    at[at >= self.bits] -= np.uint64(self.bits)
-                live = live[mine]
-                out[i + live] = level
+                    hit = np.flatnonzero((self.table[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                    live, at, step = live[hit], at[hit], step[hit]
+                    at += step
+                    np.minimum(at, at - bits, out=at)
+                now[live] += 1
         return out
 
 
-def word_counts(counts: DataFrame) -> DataFrame:
-    """word (64-bit hash) and n, one row a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, raw in zip(batch["keys"], batch["counts"]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(keys.as_buffer(), "<i8")), pa.array(np.frombuffer(raw.as_buffer(), "<i8"))], names=["word", "n"]
-                )
-
-    return counts.filter(F.col("task") == OF_WORDS).select("keys", "counts").mapInArrow(run, "word long, n long")
-
-
-def score(docs: DataFrame, training: DataFrame | Column, weights: tuple[float, ...] = WEIGHTS, max_words: int = MAX_WORDS) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame | Column, weights: tuple[float, ...] = WEIGHTS, max_words: int | None = None) -> DataFrame:
     """Score the texts of ``docs`` by a model of ``training``: all columns but text, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training``: a table with texts, or a condition that is true for the rows of ``docs`` to learn from, which reads them
-    once less. A column of ``docs`` that has the name of one of the results is left out.
+    once less. A column of ``docs`` that has the name of one of the results is left out. ``max_words``: for older callers; no
+    words are broadcast any more.
     """
     spark, order = docs.sparkSession, len(weights) + 1
     shared.small_batches(spark)
@@ -434,59 +456,37 @@ def score(docs: DataFrame, training: DataFrame | Column, weights: tuple[float, .
         asking = [docs.select("text", yes.alias("ask"), no.alias("train")), training.select("text", no.alias("ask"), yes.alias("train"))]
     parts = max(shared.parts(spark), -(-sum(map(shared.bytes_of, asking)) // PART))
     counted, folder = answers(asking, order, parts)
-    means = level_means(counted)
-    words = shared.written(word_counts(counted), "words")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    bar = n // max_words if v > max_words else 0
-    hot = words.filter(F.col("n") > bar).toArrow()  # max_words rows at most
-    keys = hot["word"].to_numpy().view(np.uint64)
-    by_key = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((keys[by_key], hot["n"].to_numpy()[by_key].astype(np.float64)))
+    means, n, v = totals(counted)
     bottom = float(n + v + 1)
     texts = docs.columns.index("text")
-    kept = [(i, f) for i, f in enumerate(docs.schema) if f.name != "text" and f.name.lower() not in (*results, "rare")]
+    kept = [(i, f) for i, f in enumerate(docs.schema) if f.name != "text" and f.name.lower() not in results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = sent.value
         answered = Answers(folder, TaskContext.get().partitionId())
         for i, rows in enumerate(runs(batches)):
             h, text, longer = read(rows, order)
             n_rows = sum(b.num_rows for b in rows)
             size = np.bincount(text, minlength=n_rows)
             first = np.append(0, np.cumsum(size))
-            unique, back = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
-            there = known[at] == unique if len(known) else np.zeros(len(unique), bool)
-            exact = np.where(there, times[at] if len(known) else 0.0, 0.0)
-            base = np.add.reduceat(np.log10((exact[back] + 1) / bottom), first[:-1])
-            n_known = np.add.reduceat(there[back].astype(np.int64), first[:-1])
-            rare = ~there[back] if bar else np.zeros(len(h), bool)
-            rare_words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(text[rare], minlength=n_rows))).astype(np.int32)), pa.array(h[rare].view(np.int64)))
+            unique, back = numbered(h)
             every = np.concatenate([h, *longer]) >> _S16
             every[len(h) :][np.concatenate([g == 0 for g in longer] or [np.empty(0, bool)])] = every[0]  # where there is no n-gram
-            asked, back = np.unique(every, return_inverse=True)
-            found = answered.levels(i, asked, parts)[back].reshape(order, len(h))
+            asked, place = numbered(every << _S16)
+            found, exact = answered.of(i, asked >> _S16, unique, parts)
+            base = np.add.reduceat(np.log10((exact + 1) / bottom)[back], first[:-1])
+            n_known = np.add.reduceat((exact > 0)[back].astype(np.int64), first[:-1])
+            found = found[place].reshape(order, len(h))
             p = interpolate(found[0], longer, list(found[1:]), means, bottom, weights)
             scores = np.add.reduceat(np.log10(p), first[:-1])
             done = 0
             for batch in rows:
                 mine = slice(done, done + batch.num_rows)
                 columns = [batch.column(i) for i, _ in kept] + [pa.array(x[mine]) for x in (size, n_known, base, scores)]
-                columns.append(rare_words.slice(done, batch.num_rows))
                 done += batch.num_rows
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for _, f in kept] + ["n_tokens", "n_known", "base_score", "score", "rare"])
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for _, f in kept] + ["n_tokens", "n_known", "base_score", "score"])
 
-    added = "n_tokens long, n_known long, base_score double, score double, rare array<long>"
+    added = "n_tokens long, n_known long, base_score double, score double"
     out = docs.mapInArrow(run, StructType([f for _, f in kept] + _parse_datatype_string(added).fields))
-    if bar:  # words that aren't broadcast: add their exact counts
-        nr, known, more_score = (shared.fresh(out, x) for x in ("__nr", "__known", "__more"))
-        out = shared.written(out.withColumn(nr, F.monotonically_increasing_id()), "scored")
-        seen = out.select(nr, F.explode("rare").alias("word")).groupBy(nr, "word").agg(F.count(F.lit(1)).alias("tf"))
-        more = seen.join(words.filter(F.col("n") <= bar), "word").groupBy(nr).agg(
-            F.sum("tf").alias(known), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias(more_score)
-        )
-        out = out.join(more, nr, "left").withColumn("n_known", F.col("n_known") + F.coalesce(known, F.lit(0)))
-        out = out.withColumn("base_score", F.col("base_score") + F.coalesce(more_score, F.lit(0.0)))
     names = [F.col("`" + f.name.replace("`", "``") + "`") for _, f in kept]
     return out.select(*names, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
