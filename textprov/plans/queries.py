@@ -168,7 +168,8 @@ def positions(spark, d) -> DataFrame:
 
 
 def coefficients(vocab: DataFrame) -> DataFrame:
-    return vocab.select("feature", (F.pmod(F.col("feature") * 7919, F.lit(1000)) / 500.0 - 1).alias("coef"))
+    # a product of ints ends in an overflow from feature 271,180 on
+    return vocab.select("feature", (F.pmod(F.col("feature").cast("long") * 7919, F.lit(1000)) / 500.0 - 1).alias("coef"))
 
 
 def linear_score(spark, d):
