@@ -97,3 +97,45 @@ def test_samples_take_distinct_rows(spark):
     assert sorted(r.doc_id for r in sampling.sample(rows, 4).collect()) == [1, 2, 3, 4]
     with pytest.raises(ValueError):
         sampling.stratified_sample(rows, 3)
+
+
+def brute_df(docs, sizes):
+    from collections import Counter
+
+    found = Counter()
+    for text in docs:
+        t = (text or "").split()
+        found.update({tuple(t[i : i + n]) for n in sizes for i in range(len(t) - n + 1)})
+    return found
+
+
+def test_vocabulary_of_many_ranges_and_flushes(spark, monkeypatch):
+    import numpy as np
+
+    from textprov.operators import ngrams
+
+    monkeypatch.setattr(ngrams, "HELD", 200)
+    rng = np.random.default_rng(5)
+    docs = [" ".join(rng.choice(["a", "b", "c", "dd"], rng.integers(0, 9))) for _ in range(90)] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    made = Vectorizer(Params((1, 2, 3), 2, 0.5, True), "words").fit(rows)
+    want = {g: n for g, n in brute_df(docs, (1, 2, 3)).items() if 2 <= n <= 46}
+    found = made.vocab.orderBy("feature").collect()
+    assert [tuple(r.ngram) for r in found] == sorted(want) and {tuple(r.ngram): r.df for r in found} == want and [r.feature for r in found] == list(range(len(want)))
+    by_hash = ngrams.frequencies(rows.select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("tokens")).filter("text <> ''"), (2,), 1, 1 << 40, 64)
+    assert sorted(r.df for r in by_hash.collect()) == sorted(brute_df(docs, (2,)).values())
+
+
+def test_values_and_sums_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b c a b"), (2, "a b"), (3, ""), (4, None)], "doc_id long, text string")
+    made = Vectorizer(Params((2,), 1, 1.0, True), "words").fit(docs)
+    one = made.transform(docs)
+    sums = made.sums(docs, made.weigh(made.vocab.select("feature", (F.col("feature") + 1.0).alias("c"))))
+    for df in (one, sums):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    by = {}
+    for r in one.collect():
+        n, c = by.get(r.doc_id, (0, 0.0))
+        by[r.doc_id] = (n + 1, c + r.value * (r.feature + 1))
+    assert {r.doc_id: (r.n_features, pytest.approx(r.c)) for r in sums.collect()} == {i: by.get(i, (0, 0.0)) for i in (1, 2, 3, 4)}
