@@ -139,3 +139,32 @@ def test_values_and_sums_are_not_shuffled(spark):
         n, c = by.get(r.doc_id, (0, 0.0))
         by[r.doc_id] = (n + 1, c + r.value * (r.feature + 1))
     assert {r.doc_id: (r.n_features, pytest.approx(r.c)) for r in sums.collect()} == {i: by.get(i, (0, 0.0)) for i in (1, 2, 3, 4)}
+
+
+def test_ngram_counts_and_frequencies_by_hand(spark, monkeypatch):
+    from collections import Counter
+
+    from textprov.operators import ngrams
+    from textprov.operators import vectorizer as V
+
+    monkeypatch.setattr(ngrams, "HELD", 64)
+    docs = ["a b a b é", "a b", "", None, "b a b a b a", "x", "a b a b a"]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(2)
+    got = V.counts(rows, (2,))
+    assert "Exchange hashpartitioning(doc_id" not in got._jdf.queryExecution().executedPlan().toString()
+    tf = {(i, g): n for i, t in enumerate(docs) for g, n in Counter(zip((t or "").split(), (t or "").split()[1:])).items()}
+    assert {(r.doc_id, tuple(r.ngram)): r.tf for r in got.collect()} == tf
+    found = ngrams.text_frequencies(V.tokenised(rows), (2, 4), 16)
+    assert "array" not in found.schema.simpleString()
+    assert sorted((r.ngram, r.df) for r in found.collect()) == sorted((" ".join(g), n) for g, n in brute_df(docs, (2, 4)).items())
+
+
+def test_byte_pairs_are_encoded_a_few_texts_at_a_time(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "ENCODED", 8)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(1, "some words of a text"), (2, None), (3, ""), (4, "é"), (5, "<|endoftext|> x" * 9)]
+    got = tokens.bpe_rows(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.PATTERN)
+    encode = tokens._encoding(path, public_tokenizers.PATTERN).encode_ordinary
+    assert {r.doc_id: r.tokens for r in got.collect()} == {i: encode(t or "") for i, t in rows}
