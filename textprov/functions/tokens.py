@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +42,31 @@ def bpe(ranks_path: str, pattern: str):
     return encode
 
 
+#: Bytes of texts that ``bpe_rows`` encodes at once.
+ENCODED = 1 << 20
+
+
+def bpe_rows(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id and tokens of ``rows`` (doc_id, text), as ``bpe`` has them; a worker holds the ids of a few texts as Python objects, not those of a whole batch."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = _encoding(ranks_path, pattern)
+        for batch in batches:
+            sizes = np.nan_to_num(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)).astype(np.int64)
+            ends, lo = np.cumsum(sizes), 0
+            while lo < len(ends):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + ENCODED, "right")))
+                found = [np.array(encoding.encode_ordinary(x or ""), np.int32) for x in batch["text"].slice(lo, hi - lo).to_pylist()]
+                offsets = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), tokens], names=["doc_id", "tokens"])
+                lo = hi
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens array<int>")
+
+
 def unbpe(ranks_path: str, pattern: str):
     """The text of token ids; '' where they aren't valid UTF-8."""
 
